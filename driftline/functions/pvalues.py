@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 SERIES_TERMS = 100
 # Below this the cut series has not settled, and the probability is 1 to all printed digits.
@@ -68,7 +69,7 @@ def _exact_ks_tail(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, -math.expm1(min(0.0, log_inside - log_all))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_ks_tail(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """Exact two-sample p-value; null where a sample is larger than the exact limit."""
     return pd.Series([
@@ -95,7 +96,7 @@ def _chi2_tail(x: float, dof: int) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([
         _chi2_tail(float(a), int(b)) if a == a and b == b and b is not None else None
