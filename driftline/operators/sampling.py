@@ -9,7 +9,7 @@ SAMPLE_ROWS = 50_000
 SEED = 42
 # Leading hex digits that form the histogram: 16**4 cells per split.
 _CELL_DIGITS = 4
-_SALTS = 64
+_SLICES = 64
 
 
 def sample_per_split(
@@ -22,28 +22,32 @@ def sample_per_split(
     about n rows however large the split is. Copies of one id share a hash and may exceed that;
     the ranking is therefore done per slice of rows first and across slices second.
     """
-    keyed = df.withColumn("_hash", order_hash(seed, F.col(key)))
+    # The slice is in the same projection as the hash: it is not deterministic, so the filter below
+    # is not copied into the hash expressions underneath, and each is computed once per row.
+    keyed = df.select(
+        "*", order_hash(seed, F.col(key)).alias("_hash"),
+        (F.spark_partition_id() % _SLICES).alias("_slice"),
+    )
     cell = F.substring("_hash", 1, _CELL_DIGITS)
     cells = keyed.groupBy(split, cell.alias("_cell")).agg(F.count("*").alias("_n"))
     before = (
         Window.partitionBy(split).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     )
     last = (
-        cells.filter(F.col(split).isNotNull())
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter(F.col("_before") < n)
         .groupBy(split)
         .agg(F.max("_cell").alias("_last"))
     )
     # {split label: last cell}, one small map; rows without a split find no entry and drop out.
-    bounds = last.agg(F.map_from_entries(F.collect_list(F.struct(split, "_last")))).scalar()
+    entry = F.when(F.col(split).isNotNull(), F.struct(split, "_last"))
+    bounds = last.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     near = keyed.filter(cell <= F.try_element_at(bounds, F.col(split)))
     order = [F.col("_hash"), F.col(key)]
-    sliced = near.withColumn("_slice", F.spark_partition_id() % _SALTS)
     by_slice = F.row_number().over(Window.partitionBy(split, "_slice").orderBy(*order))
     overall = F.row_number().over(Window.partitionBy(split).orderBy(*order))
     return (
-        sliced.withColumn("_rn", by_slice).filter(F.col("_rn") <= n)
+        near.withColumn("_rn", by_slice).filter(F.col("_rn") <= n)
         .withColumn("_rn", overall).filter(F.col("_rn") <= n)
         .select(*df.columns)
     )

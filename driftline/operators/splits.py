@@ -58,7 +58,19 @@ def split_sizes(df: DataFrame, dataset_id: str = "dataset_id") -> DataFrame:
     Counted per (split, survey) first, so a survey with a third of the rows is added up in the
     tasks that read it.
     """
-    surveys = df.groupBy("split", dataset_id).agg(F.count("*").alias("_n"))
+    return _sizes(df.groupBy("split", dataset_id).agg(F.count("*").alias("_n")), dataset_id)
+
+
+def survey_split_sizes(df: DataFrame, dataset_id: str = "dataset_id") -> DataFrame:
+    """``split_sizes`` of a survey-level split, from rows not yet assigned.
+
+    The rows of a survey share one bucket, so it is computed once per survey, after counting.
+    """
+    surveys = df.groupBy(dataset_id).agg(F.count("*").alias("_n"))
+    return _sizes(assign_by_dataset(surveys, dataset_id), dataset_id)
+
+
+def _sizes(surveys: DataFrame, dataset_id: str) -> DataFrame:
     sizes = surveys.groupBy("split").agg(
         F.count(dataset_id).alias("datasets"), F.sum("_n").alias("n_rows")
     )

@@ -76,7 +76,8 @@ def vocab(spark, sf_dir) -> DataFrame:
 
 @query(sql.sizes(sql.with_splits("dataset")))
 def split_dataset_level(spark, sf_dir):
-    return rounded(splits.split_sizes(split_occ(spark, sf_dir)), 6, "pct")
+    complete = splits.complete_records(occurrences(spark, sf_dir))
+    return rounded(splits.survey_split_sizes(complete), 6, "pct")
 
 
 @query(sql.sizes(sql.with_splits("record")))
@@ -86,7 +87,7 @@ def split_record_level(spark, sf_dir):
 
 @query(sql.sizes(sql.with_splits("dataset", complete=False)))
 def split_keep_missing(spark, sf_dir):
-    return rounded(splits.split_sizes(split_occ(spark, sf_dir, keep_missing=True)), 6, "pct")
+    return rounded(splits.survey_split_sizes(occurrences(spark, sf_dir)), 6, "pct")
 
 
 @query(
@@ -302,9 +303,8 @@ _MARKS = (1, 5, 10, 20, *CUMULATIVE_MARKS[1:])
     "from vocab), t as (select sum(n) as total, count(*) as size, "
     "coalesce(sum(n) filter (where v is null), 0) / sum(n) as p_null from vocab), "
     f"m(top_n) as (values {', '.join(f'({m})' for m in _MARKS)}), "
-    "marks as (select top_n::bigint as top_n from m union all select size from t), "
-    "c as (select top_n, sum(n) as cum from marks join r on rk <= top_n group by all, "
-    "(top_n is null)) select top_n, cum::bigint as cumulative_count, "
+    "marks as (select false as whole, top_n::bigint as top_n from m union all select true, size from t), "
+    "c as (select whole, top_n, sum(n) as cum from marks join r on rk <= top_n group by all) select top_n, cum::bigint as cumulative_count, "
     "round(cum / total, 9) as cumulative_proportion_of_all_values_incl_null, "
     "round((cum / total - p_null) / (1 - p_null), 9) as cumulative_proportion_of_all_values_excl_null "
     "from c, t"
@@ -663,7 +663,7 @@ def url_candidates(spark, sf_dir):
 @query(
     f"with t as (select page_id, url, {sql.html_text('html')} as text from pages) "
     "select *, length(text) as n_chars, "
-    "len(list_filter(string_split_regex(text, '\\s+'), w -> w <> ''))::bigint as n_words from t"
+    "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::bigint as n_words from t"
 )
 def page_text(spark, sf_dir):
     return pages.page_texts(table(spark, sf_dir, "pages"))
@@ -705,7 +705,7 @@ def url_outcome_summary(spark, sf_dir):
     f"with t as (select {sql.html_text('html')} as text from pages) "
     "select count(*) as n_pages, count(text) as n_texts, sum(length(text))::bigint as sum_chars, "
     "min(length(text)) as min_chars, max(length(text)) as max_chars, "
-    "sum(len(list_filter(string_split_regex(text, '\\s+'), w -> w <> '')))::bigint as sum_words from t"
+    "sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::bigint as sum_words from t"
 )
 def page_text_stats(spark, sf_dir):
     return pages.text_size_stats(pages.page_texts(table(spark, sf_dir, "pages")))
@@ -822,7 +822,7 @@ def sink_csv(spark, sf_dir):
 @query(
     f"with occ as ({OCCURRENCE_SQL}), f as (select distinct dataset_id || '.parquet' as source from occ), "
     "s as (select source, ((row_number() over (order by source) - 1) // "
-    "(select ceil(count(*) / 10) from f))::int as shard from f), "
+    "(select (count(*) + 9) // 10 from f))::int as shard from f), "
     "v as (select dataset_id || '.parquet' as source, samplingProtocol as value from occ) "
     "select shard, count(distinct s.source) as n_files, count(*) as n_rows, count(value) as n_values "
     "from v join s on v.source = s.source group by shard"
@@ -871,8 +871,8 @@ _BATCH = (
 
 @query(
     f"with {_BATCH} select batch_id::bigint as batch_id, n_rows, "
-    "array_to_string(list_transform(species, s -> coalesce(s, '-')), '|') as species, "
-    "array_to_string(list_transform(shoredistance, s -> coalesce((s::bigint)::varchar, '-')), '|') "
+    "array_to_string(list_transform(species, lambda s: coalesce(s, '-')), '|') as species, "
+    "array_to_string(list_transform(shoredistance, lambda s: coalesce((s::bigint)::varchar, '-')), '|') "
     "as shoredistance from b"
 )
 def minibatches(spark, sf_dir):

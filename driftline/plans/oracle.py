@@ -84,24 +84,24 @@ def ks_sql(cte: str, source: str, fields=NUMERIC_FIELDS, names=("train", "dev",
 long as (select * from ({unpivot(source, fields, 'feature', 'value', '::double')})
          where value is not null),
 pairs(split_a, split_b) as (values {pair_rows}),
-both as (select p.split_a, p.split_b, l.feature, l.value,
+sides as (select p.split_a, p.split_b, l.feature, l.value,
            count(*) filter (where l.split = p.split_a) as ca,
            count(*) filter (where l.split = p.split_b) as cb
          from long l join pairs p on l.split in (p.split_a, p.split_b) group by all),
 steps as (select *, sum(ca) over w as fa, sum(cb) over w as fb,
             sum(ca) over (partition by feature, split_a, split_b) as n_a,
             sum(cb) over (partition by feature, split_a, split_b) as n_b
-          from both window w as (partition by feature, split_a, split_b order by value
+          from sides window w as (partition by feature, split_a, split_b order by value
                                  rows between unbounded preceding and current row)),
 tests as (select feature, split_a, split_b, n_a::bigint as n_a, n_b::bigint as n_b,
             max(abs(fa / n_a - fb / n_b)) as d
           from steps where n_a >= {min_values} and n_b >= {min_values} group by all),
 lam as (select *, sqrt(n_a::double * n_b / (n_a + n_b)) as e from tests),
-lam2 as (select *, e * d + 1 / (6 * e) + (e * d - 1) / (4 * e * e) as lambda from lam),
-p as (select *, case when lambda < 0.2 then 1.0::double else greatest(0.0::double, least(1.0::double,
+lam2 as (select *, e * d + 1 / (6 * e) + (e * d - 1) / (4 * e * e) as z from lam),
+p as (select *, case when z < 0.2 then 1.0::double else greatest(0.0::double, least(1.0::double,
         list_sum(list_transform(range(1, 101),
-          k -> (case when k % 2 = 1 then 2.0 else -2.0 end)::double
-               * exp(-2.0::double * k * k * lambda * lambda))))) end as pv from lam2)
+          lambda k: (case when k % 2 = 1 then 2.0 else -2.0 end)::double
+               * exp(-2.0::double * k * k * z * z))))) end as pv from lam2)
 select feature, split_a, split_b, n_a, n_b, round(d, 9) as statistic, round(pv, 6) as p_value,
   pv > 0.05 as passed from p"""
 
@@ -115,13 +115,13 @@ def chi2_tests(cte: str, source: str, fields=CATEGORICAL_FIELDS, names=("train",
 long as (select * from ({unpivot(source, fields, 'feature', 'value', '::varchar')})
          where value is not null),
 pairs(split_a, split_b) as (values {pair_rows}),
-both as (select p.split_a, p.split_b, l.feature, l.value,
+sides as (select p.split_a, p.split_b, l.feature, l.value,
            count(*) filter (where l.split = p.split_a)::double as oa,
            count(*) filter (where l.split = p.split_b)::double as ob
          from long l join pairs p on l.split in (p.split_a, p.split_b) group by all),
 sized as (select *, sum(oa) over t as ta, sum(ob) over t as tb,
             row_number() over (partition by feature, split_a, split_b order by oa + ob desc, value) as r
-          from both window t as (partition by feature, split_a, split_b)),
+          from sides window t as (partition by feature, split_a, split_b)),
 capped as (select *, sum(oa) over t as n_a, sum(ob) over t as n_b, count(*) over t as k
            from (select * from sized where r <= {top} and ta >= {min_values} and tb >= {min_values})
            window t as (partition by feature, split_a, split_b)),
