@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from driftline.fields import CATEGORICAL_FIELDS, NUMERIC_FIELDS, SPLITS
 from driftline.functions.pvalues import chi2_tail, exact_ks_tail, kolmogorov_tail
 from driftline.operators.ordering import top_per_group, with_running_sums
+from driftline.staging import staged
 
 MIN_VALUES = 20
 MAX_CATEGORIES = 50
@@ -54,8 +55,9 @@ def ks_matrix(
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         steps = counts.select("*", *(F.sum(n).over(upto).alias(c) for c, n in sums.items()))
-    # One row per feature.
-    steps = steps.join(F.broadcast(_totals(counts, names)), "feature")
+    # One row per feature; of a whole table, taken from the staged steps.
+    totals = _totals(steps if whole else counts, names)
+    steps = steps.join(F.broadcast(totals), "feature")
 
     def gap(a, b):
         f = F.try_divide(F.col(f"cum_{a}"), F.col(f"total_{a}"))
@@ -82,14 +84,17 @@ def ks_matrix(
 
 def chi2_matrix(
     df: DataFrame, fields: list[str] = CATEGORICAL_FIELDS, names=SPLITS,
-    min_values: int = MIN_VALUES, max_categories: int = MAX_CATEGORIES,
+    min_values: int = MIN_VALUES, max_categories: int = MAX_CATEGORIES, whole: bool = False,
 ) -> DataFrame:
     """Chi-squared and Cramer's V per feature and pair, over the most frequent categories.
 
-    With two categories the counts are moved half a step towards the expectation (Yates).
+    With two categories the counts are moved half a step towards the expectation (Yates). ``df`` is
+    a sample; of a whole table (``whole=True``) the category counts are staged, as they are read twice.
     """
     text = df.select("split", *(F.col(f"`{f}`").cast("string").alias(f) for f in fields))
     counts = counts_by_split(text, fields, names)
+    if whole:
+        counts = staged(counts, "category-counts")
     pairs = F.array(*(
         F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"),
                  F.col(f"n_{a}").alias("o_a"), F.col(f"n_{b}").alias("o_b"),

@@ -31,25 +31,28 @@ def page_texts(pages: DataFrame) -> DataFrame:
     )
 
 
-def attach_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """The first captured page of each candidate, null where there is none.
+def first_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Address, text and emptiness of the first captured page of each candidate.
 
-    The page is chosen on ids alone; its HTML is fetched by id afterwards, so repeated captures of
-    one address are never sorted or shuffled with their content.
+    The page is chosen on ids alone, so repeated captures of one address are never shuffled with
+    their content. Its text is taken where the page is read: only chosen pages' text travels on.
     """
-    first = (
+    chosen = (
         pages.select("url", "page_id")
         .join(candidates.select(F.col(VALUE).alias("url")), "url", "left_semi")
         .groupBy("url").agg(F.min("page_id").alias("page_id"))
     )
-    chosen = candidates.join(first.withColumnRenamed("url", VALUE), VALUE, "left")
-    return chosen.join(pages.select("page_id", "html"), "page_id", "left")
+    return (
+        pages.select("page_id", "html").join(chosen, "page_id")
+        .select(F.col("url").alias(VALUE), html_to_text(F.col("html")).alias("text"),
+                (F.coalesce("html", F.lit("")) == "").alias("empty"))
+    )
 
 
 def url_outcomes(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per candidate: was text extracted, where is it, and if not, why."""
-    outcome = attach_pages(candidates, pages).withColumn("text", html_to_text(F.col("html")))
-    missing = F.col("html").isNull() | (F.col("html") == "")
+    outcome = candidates.join(first_pages(candidates, pages), VALUE, "left")
+    missing = F.coalesce("empty", F.lit(True))
     rendered = F.col("route") == "rendered"
     note = (
         F.when(missing & rendered, NOTE_RENDER_FAILED)

@@ -6,6 +6,7 @@ from driftline.fields import CATEGORICAL_FIELDS, NUMERIC_FIELDS, TERM_CATEGORIES
 from driftline.functions.numbers import percent
 from driftline.functions.text import has_text
 from driftline.operators.ordering import top_per_group, with_running_sums
+from driftline.staging import staged
 
 # Counters per aggregate: generated code for more of them no longer compiles into one method.
 COUNTERS_PER_JOB = 47
@@ -149,7 +150,8 @@ def categorical_profile(
     df: DataFrame, fields: list[str] = CATEGORICAL_FIELDS, by: str = "split", k: int = 3
 ) -> DataFrame:
     """Distinct values and the k most frequent ones, as ``name (12.3%)``, per split and field."""
-    counts = value_counts_long(df, fields, by)
+    # Read twice, for the totals and for the best values.
+    counts = staged(value_counts_long(df, fields, by), "value-counts")
     totals = counts.groupBy(by, "field").agg(
         F.sum("n").alias("n_valid"), F.count("*").alias("n_unique")
     )

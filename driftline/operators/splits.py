@@ -83,10 +83,8 @@ def _sizes(surveys: DataFrame, dataset_id: str) -> DataFrame:
 def leaking_datasets(df: DataFrame, dataset_id: str = "dataset_id") -> DataFrame:
     """Surveys with rows in more than one split. One bit per split, or-ed up: one shuffle."""
     bit = F.coalesce(*(F.when(F.col("split") == name, 1 << i) for i, name in enumerate(SPLITS)))
-    seen = (
-        df.filter(F.col("split").isNotNull())
-        .groupBy(dataset_id)
-        .agg(F.bit_or(bit).alias("_seen"), F.count("*").alias("n_rows"))
+    seen = df.groupBy(dataset_id).agg(
+        F.bit_or(bit).alias("_seen"), F.count("split").alias("n_rows")
     )
     return seen.select(
         dataset_id, F.bit_count("_seen").cast("int").alias("n_splits"), "n_rows"

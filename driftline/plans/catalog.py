@@ -16,7 +16,8 @@ from driftline.operators import (
 from driftline.plans import oracle as sql
 from driftline.sources import files, sinks
 from driftline.sources.given_tables import (
-    EXTENDED_SQL, OCCURRENCE_SQL, TABLES, interpreted_fields, occurrences, table,
+    EXTENDED_SQL, OCCURRENCE_SQL, TABLES, interpreted_fields, occurrences,
+    spread_if_few, table,
 )
 from driftline.staging import scratch_path, staged
 from driftline.streaming import ingest
@@ -60,6 +61,10 @@ def flat_sample(spark, sf_dir, by="dataset", fields=FEATURES, n=SAMPLE, keep_mis
     )
 
 
+def captured_pages(spark, sf_dir) -> DataFrame:
+    return spread_if_few(table(spark, sf_dir, "pages"), "page_id")
+
+
 def protocols(spark, sf_dir) -> DataFrame:
     """``value, source`` rows: the mined field and the file each row would come from."""
     return occurrences(spark, sf_dir).select(
@@ -253,9 +258,7 @@ def _categorical_sql(cte: str, source: str) -> str:
 def categorical_profile(spark, sf_dir):
     """On the seeded sample, as the published figures are."""
     df = flat_splits(spark, sf_dir, fields=CATEGORICAL_FIELDS, keep_missing=True)
-    return profile.categorical_profile(
-        staged(sampling.sample_per_split(df).drop("_id"), "sample")
-    )
+    return profile.categorical_profile(sampling.sample_per_split(df))
 
 
 @query(_categorical_sql(sql.with_splits("record", complete=False), "sp"))
@@ -462,7 +465,8 @@ def legacy_ks(spark, sf_dir):
 ))
 def legacy_chi2(spark, sf_dir):
     tests = equivalence.chi2_matrix(
-        _legacy_rows(spark, sf_dir), RAW_CATEGORICAL_FIELDS, ("train", "val", "test"), 10
+        _legacy_rows(spark, sf_dir), RAW_CATEGORICAL_FIELDS, ("train", "val", "test"), 10,
+        whole=True,
     )
     return _tests_out(tests, _CHI2)
 
@@ -498,15 +502,15 @@ def geojson_parsed(spark, sf_dir):
         "properties struct<phylum:string, depth:double, habitat:string, waterBody:string>"
     )
     lines = geography.geojson_lines(geography.geo_features(occurrences(spark, sf_dir)))
-    f = lines.select(F.from_json("value", schema).alias("f")).select("f.*").filter(
-        "type = 'Feature' and geometry.type = 'Point'"
-    )
+    f = lines.select(F.from_json("value", schema).alias("f")).select("f.*")
+    is_point = (F.col("type") == "Feature") & (F.col("geometry.type") == "Point")
 
     def hundredths(i):
         return F.sum(F.rint(F.get("geometry.coordinates", F.lit(i)) * 100)).cast("long")
 
     return f.groupBy("properties.phylum").agg(
-        F.count("*").alias("n"), hundredths(0).alias("sum_lon"), hundredths(1).alias("sum_lat"),
+        F.count_if(is_point).alias("n"),
+        hundredths(0).alias("sum_lon"), hundredths(1).alias("sum_lat"),
         F.count("properties.depth").alias("n_depth"),
         F.count("properties.habitat").alias("n_habitat"),
         F.count("properties.waterBody").alias("n_water"),
@@ -645,7 +649,7 @@ _URL_VOCAB = (
 def _url_vocab(spark, sf_dir) -> DataFrame:
     """Protocol texts and page addresses, so that some candidates have a captured page."""
     values = protocols(spark, sf_dir).select("value").unionByName(
-        table(spark, sf_dir, "pages").select(F.col("url").alias("value"))
+        captured_pages(spark, sf_dir).select(F.col("url").alias("value"))
     )
     return vocabulary.value_counts(values)
 
@@ -666,7 +670,7 @@ def url_candidates(spark, sf_dir):
     "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))::bigint as n_words from t"
 )
 def page_text(spark, sf_dir):
-    return pages.page_texts(table(spark, sf_dir, "pages"))
+    return pages.page_texts(captured_pages(spark, sf_dir))
 
 
 _OUTCOMES = (
@@ -689,7 +693,7 @@ _OUTCOMES = (
 @query(f"with {_OUTCOMES} select * from outcome")
 def url_outcomes(spark, sf_dir):
     candidates = pages.url_candidates(_url_vocab(spark, sf_dir))
-    return pages.url_outcomes(candidates, table(spark, sf_dir, "pages"))
+    return pages.url_outcomes(candidates, captured_pages(spark, sf_dir))
 
 
 @query(
@@ -698,7 +702,7 @@ def url_outcomes(spark, sf_dir):
 )
 def url_outcome_summary(spark, sf_dir):
     candidates = pages.url_candidates(_url_vocab(spark, sf_dir))
-    return pages.outcome_summary(pages.url_outcomes(candidates, table(spark, sf_dir, "pages")))
+    return pages.outcome_summary(pages.url_outcomes(candidates, captured_pages(spark, sf_dir)))
 
 
 @query(
@@ -708,7 +712,7 @@ def url_outcome_summary(spark, sf_dir):
     "sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::bigint as sum_words from t"
 )
 def page_text_stats(spark, sf_dir):
-    return pages.text_size_stats(pages.page_texts(table(spark, sf_dir, "pages")))
+    return pages.text_size_stats(pages.page_texts(captured_pages(spark, sf_dir)))
 
 
 # ---- sources, sinks, ingest ---------------------------------------------------------
