@@ -134,6 +134,16 @@ def quarantine(probed: DataFrame) -> DataFrame:
     return probed.filter(F.col("error").isNotNull()).select("path", "file_name", "error")
 
 
+def read_readable(
+    spark: SparkSession, path: str, recursive: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files whose footer can be read, and the quarantine of the others."""
+    probed = staged(probe_files(file_manifest(spark, path, recursive)), "probe")
+    good = probed.filter(F.col("error").isNull()).select("path").orderBy("path").collect()
+    # Paths only: the file index of the read holds them on the driver in any case.
+    return spark.read.parquet(*(r["path"] for r in good)), quarantine(probed)
+
+
 # ---- reading with drifting schemas -------------------------------------------
 
 def _location(field: str, struct: str | None, root: bool) -> Column:
