@@ -16,6 +16,8 @@ def _in_global_order(df: DataFrame, keys: list[Column], label: str) -> DataFrame
 
     ``monotonically_increasing_id`` is the partition number in the upper bits and the place in the
     lower 33. It also breaks ties before the exchange, so that copies of one key can be cut apart.
+    For that its values must survive a repeated task: where keys repeat, ``df`` should be a scan or
+    a staged table, whose rows come in the same order again.
     """
     tie = "_range_tie"
     tied = df.withColumn(tie, F.monotonically_increasing_id())

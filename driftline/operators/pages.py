@@ -34,19 +34,17 @@ def page_texts(pages: DataFrame) -> DataFrame:
 def first_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """Address, text and emptiness of the first captured page of each candidate.
 
-    The page is chosen on ids alone, so repeated captures of one address are never shuffled with
-    their content. Its text is taken where the page is read: only chosen pages' text travels on.
+    Captures are reduced to one id per address before any join, so an address that was captured a
+    great many times is added up where it is read. Text is taken where the chosen pages are read;
+    HTML is not shuffled on its own account. Copies of a page count once.
     """
-    chosen = (
-        pages.select("url", "page_id")
-        .join(candidates.select(F.col(VALUE).alias("url")), "url", "left_semi")
-        .groupBy("url").agg(F.min("page_id").alias("page_id"))
-    )
-    return (
-        pages.select("page_id", "html").join(chosen, "page_id")
-        .select(F.col("url").alias(VALUE), html_to_text(F.col("html")).alias("text"),
-                (F.coalesce("html", F.lit("")) == "").alias("empty"))
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    chosen = first.join(candidates.select(F.col(VALUE).alias("url")), "url", "left_semi")
+    texts = pages.join(chosen, ["url", "page_id"], "left_semi").select(
+        F.col("url").alias(VALUE), html_to_text(F.col("html")).alias("text"),
+        (F.coalesce("html", F.lit("")) == "").alias("empty"),
     )
+    return texts.groupBy(VALUE).agg(F.min("text").alias("text"), F.min("empty").alias("empty"))
 
 
 def url_outcomes(candidates: DataFrame, pages: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from driftline.fields import (
 )
 from driftline.functions.hashing import dataset_bucket, record_bucket, split_of_bucket
 from driftline.functions.numbers import percent, text_bar
+from driftline.functions.text import file_stem
 from driftline.operators import (
     batches, equivalence, geography, pages, profile, sampling, splits, vocabulary,
 )
@@ -496,13 +497,14 @@ def geojson_lines(spark, sf_dir):
     "count(habitat) as n_habitat, count(waterBody) as n_water from f group by phylum"
 )
 def geojson_parsed(spark, sf_dir):
-    """GeoJSON text of all points read back, so that the text itself is checked."""
+    """GeoJSON lines of all points, written and read back, so that the text itself is checked."""
     schema = (
         "type string, geometry struct<type:string, coordinates:array<double>>, "
         "properties struct<phylum:string, depth:double, habitat:string, waterBody:string>"
     )
-    lines = geography.geojson_lines(geography.geo_features(occurrences(spark, sf_dir)))
-    f = lines.select(F.from_json("value", schema).alias("f")).select("f.*")
+    out = scratch_path(spark, "geojson")
+    sinks.write_geojson(geography.geo_features(occurrences(spark, sf_dir)), out)
+    f = spark.read.schema(schema).json(out)
     is_point = (F.col("type") == "Feature") & (F.col("geometry.type") == "Point")
 
     def hundredths(i):
@@ -774,15 +776,42 @@ def harvest_field(spark, sf_dir):
     return rows.groupBy("file_name", "source").agg(F.count("*").alias("n"))
 
 
-@query(
-    "select 'region.parquet' as file_name union all "
-    + " union all ".join(f"select '{t}.parquet'" for t in TABLES if t not in ("region", "events", "pages"))
-)
+@query(" union all ".join(
+    f"select '{t}.parquet' as file_name, count(*) as n_rows from {t}"
+    for t in TABLES if not t.startswith("e")
+))
 def unlogged_files(spark, sf_dir):
-    """Files that neither the log of done nor that of failed files names."""
-    done = spark.createDataFrame([("events.parquet",)], "file_name string")
-    failed = spark.createDataFrame([("pages.parquet",)], "file_name string")
-    return files.without_logged(_manifest(spark, sf_dir), done, failed).select("file_name")
+    """Files that the log of an earlier ingest does not name, with their rows."""
+    out = scratch_path(spark, "ingest")
+    ingest.ingest_field(spark, sf_dir, out, f"{out}/checkpoint", field="value", glob="e*.parquet")
+    log = ingest.ingest_log(spark, out)
+    left = files.without_logged(
+        _manifest(spark, sf_dir), log.filter("status = 'done'"), log.filter("status = 'failed'")
+    )
+    return files.probe_files(left).select("file_name", "n_rows")
+
+
+@query(" union all ".join(
+    f"select '{t}.parquet' as file_name, count(*) as n_rows, true as readable from {t}" for t in TABLES
+))
+def quarantine(spark, sf_dir):
+    """Every page of every file read, for the list of unreadable ones."""
+    probed = files.probe_files(_manifest(spark, sf_dir), deep=True)
+    bad = files.quarantine(probed).select("file_name", F.lit(False).alias("readable"))
+    return probed.join(bad, "file_name", "left").select(
+        "file_name", "n_rows", F.coalesce("readable", F.lit(True)).alias("readable")
+    )
+
+
+@query("with f as (" + " union all ".join(
+    f"select '{t}' as dataset_id, count(*) as n_rows from {t}" for t in TABLES
+) + f"), b as (select *, {sql.dataset_bucket('dataset_id')} as bucket from f) "
+    f"select dataset_id, n_rows, bucket, {sql.split_of('bucket')} as split from b")
+def file_splits(spark, sf_dir):
+    """Whole files assigned by the stem of their name."""
+    probed = files.probe_files(_manifest(spark, sf_dir))
+    stems = probed.select(file_stem(F.col("file_name")).alias("dataset_id"), "n_rows")
+    return splits.assign_by_dataset(stems)
 
 
 @query(" union all ".join(
@@ -846,6 +875,18 @@ def sink_value_shards(spark, sf_dir):
     )
 
 
+@query(
+    f"with {_OUTCOMES} select samplingProtocol_uid as uid, extracted_md_fpath as name, text "
+    "from outcome where successful_extraction"
+)
+def sink_page_texts(spark, sf_dir):
+    """Extracted texts as a table, read back."""
+    out = scratch_path(spark, "page-texts")
+    candidates = pages.url_candidates(_url_vocab(spark, sf_dir))
+    sinks.write_page_texts(pages.url_outcomes(candidates, captured_pages(spark, sf_dir)), out)
+    return spark.read.parquet(out)
+
+
 # ---- ordered access and batches ------------------------------------------------------
 
 _INDEXED = (

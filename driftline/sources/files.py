@@ -120,14 +120,17 @@ def probe_files(manifest: DataFrame, deep: bool = False) -> DataFrame:
     """Schema and row count of each file from its footer, or the error of reading it.
 
     Runs on the executors, one row per file. ``deep`` also reads every page, for files whose
-    footer is sound but whose data is not.
+    footer is sound but whose data is not. The number of tasks is given, as the listing is far too
+    small for Spark to spread it by itself.
     """
+    tasks = manifest.sparkSession.sparkContext.defaultParallelism
+
     def probe(frames):
         for frame in frames:
             rows = [_probe_one(p, deep) for p in frame["path"]]
             yield pd.DataFrame(rows, columns=["path", "file_name", "n_rows", "fields", "error"])
 
-    return manifest.select("path").repartition("path").mapInPandas(probe, PROBE_SCHEMA)
+    return manifest.select("path").repartition(tasks, "path").mapInPandas(probe, PROBE_SCHEMA)
 
 
 def quarantine(probed: DataFrame) -> DataFrame:
