@@ -138,10 +138,10 @@ def quarantine(probed: DataFrame) -> DataFrame:
 
 
 def read_readable(
-    spark: SparkSession, path: str, recursive: bool = False
+    spark: SparkSession, path: str, recursive: bool = False, deep: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of the files whose footer can be read, and the quarantine of the others."""
-    probed = staged(probe_files(file_manifest(spark, path, recursive)), "probe")
+    """Rows of the files that can be read, and the quarantine of the others."""
+    probed = staged(probe_files(file_manifest(spark, path, recursive), deep), "probe")
     good = probed.filter(F.col("error").isNull()).select("path").orderBy("path").collect()
     # Paths only: the file index of the read holds them on the driver in any case.
     return spark.read.parquet(*(r["path"] for r in good)), quarantine(probed)
