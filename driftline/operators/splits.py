@@ -16,20 +16,24 @@ def complete_records(df: DataFrame, fields=CORE_FIELDS, struct: str = "interpret
     )
 
 
-def assign_by_dataset(df: DataFrame, dataset_id: Column | str = "dataset_id") -> DataFrame:
+def _assign(df: DataFrame, key: Column, bucket: Column) -> DataFrame:
+    """Bucket and label of a key; both are null for a null key.
+
+    A label is never null otherwise. Saying so with ``coalesce`` lets the optimizer turn a null test
+    on the split, which every join on it brings about, into one on the key, without any hashing.
+    """
+    label = F.coalesce(split_of_bucket(F.col("bucket")), F.lit(SPLITS[-1]))
+    return df.withColumn("bucket", bucket).withColumn("split", F.when(key.isNotNull(), label))
+
+
+def assign_by_dataset(df: DataFrame, dataset_id: str = "dataset_id") -> DataFrame:
     """All rows of a survey go to the split of its id."""
-    key = F.col(dataset_id) if isinstance(dataset_id, str) else dataset_id
-    return df.withColumn("bucket", dataset_bucket(key)).withColumn(
-        "split", split_of_bucket(F.col("bucket"))
-    )
+    return _assign(df, F.col(dataset_id), dataset_bucket(F.col(dataset_id)))
 
 
-def assign_by_record(df: DataFrame, record_id: Column | str = "_id") -> DataFrame:
+def assign_by_record(df: DataFrame, record_id: str = "_id") -> DataFrame:
     """Each row goes to the split of its own id; rows without an id get a null split."""
-    key = F.col(record_id) if isinstance(record_id, str) else record_id
-    return df.withColumn("bucket", record_bucket(key)).withColumn(
-        "split", split_of_bucket(F.col("bucket"))
-    )
+    return _assign(df, F.col(record_id), record_bucket(F.col(record_id)))
 
 
 def split_occurrences(df: DataFrame, by_record: bool = False, keep_missing: bool = False) -> DataFrame:
