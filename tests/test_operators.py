@@ -373,3 +373,9 @@ def test_inspect_shows_nulls(spark):
         "_id", F.struct("x").alias("interpreted"))
     row = batches.inspect_first(df).first()
     assert row["_id"] == "a" and "null" in row["json"]
+
+
+def test_null_test_on_split_does_not_hash(spark):
+    df = splits.assign_by_record(_records(spark)).filter("split is not null").select("split")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sha2" in line for line in plan.splitlines() if "Filter" in line)
