@@ -486,5 +486,6 @@ def join_components(docs: DataFrame) -> DataFrame:
         .select("signature", F.coalesce("component", "node").alias("component_id")), "class-components",
     )
     return sets.join(by_signature, "signature", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
