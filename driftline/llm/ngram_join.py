@@ -31,14 +31,15 @@ from driftline.staging import staged
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 MINIMA = 8
-#: Document frequencies are counted for the shingles with a hash below this; the others come after
-#: them in the order. A document needs a quarter of its shingles in its prefix.
-COUNTED_BELOW = 3 << 61
+#: Shingles with a hash below this come first in the order, and their frequencies are counted over all
+#: documents. A prefix is a quarter of a set, so most end among them; for sets whose prefix does not,
+#: mostly small ones, the other shingles are counted too, over such sets.
+FIRST_BELOW = 3 << 61
 #: Frequencies are told apart up to here.
 FREQUENT = 64
 POSTINGS_PER_BUCKET = 400_000
-POSTINGS_PER_FLUSH = 2_000_000
-RESIDENTS_PER_BLOCK = 300
+POSTINGS_PER_FLUSH = 1_000_000
+RESIDENTS_PER_BLOCK = 600
 MEMBERS_PER_GROUP = 1_000
 BROADCAST_ROWS = 1 << 20
 
@@ -138,17 +139,24 @@ def occurring(lists: list[list[int]], least: int, known=None):
 
 # ---- sets and classes ------------------------------------------------------------------------
 
-_SETS = "doc_id long, n long, signature binary, n_counted long, rest array<long>, minima array<long>"
+_SETS = "doc_id long, n long, signature binary, n_first long, minima array<long>"
 
 
 def _signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 
 
+def n_first(own: np.ndarray) -> int:
+    return int(np.searchsorted(own, np.uint64(FIRST_BELOW)))
+
+
+def prefix_length(n: int) -> int:
+    return n - least_overlap(n) + 1
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """One row for each document: size and 128-bit signature of its set (null if empty), how many
-    hashes are counted, those uncounted that its prefix needs besides, and minima under
-    several orders."""
+    hashes are in the first part of the order, and minima under several orders."""
     factors = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def run(batches):
@@ -159,16 +167,13 @@ def set_table(docs: DataFrame) -> DataFrame:
                 own = shingles(text, memo)
                 n = len(own)
                 if not n:
-                    rows.append((doc_id, 0, None, 0, [], []))
+                    rows.append((doc_id, 0, None, 0, []))
                     continue
-                counted = int(np.searchsorted(own, np.uint64(COUNTED_BELOW)))
-                more = max(0, n - least_overlap(n) + 1 - counted)
                 minima = mix(own[None, :] * factors[:, None]).min(axis=1)
                 rows.append((
-                    doc_id, n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), counted,
-                    _signed(own[counted:counted + more]), _signed(minima),
+                    doc_id, n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n_first(own), _signed(minima),
                 ))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                 names=[f.split()[0] for f in _SETS.split(", ")],
@@ -271,12 +276,12 @@ _PLAIN, _NOTICE, _HEAVY = 0, 1, 2
 
 
 def _post(docs: DataFrame, buckets: int) -> DataFrame:
-    """Counted shingles of all documents, in blobs for each range of hashes.
+    """The shingles of all documents that may be in prefixes, in blobs for each range of hashes.
 
     A shingle that many documents of one task have is known to be frequent already; its range gets
     a notice in place of its owners, which go anywhere. So no list of owners is long.
     """
-    width = (COUNTED_BELOW >> 32) // buckets + 1
+    width = (FIRST_BELOW >> 32) // buckets + 1
 
     def flush(held, owners, turn):
         hashes = np.concatenate(held)
@@ -312,7 +317,9 @@ def _post(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = shingles(text, memo)
-                own = own[:np.searchsorted(own, np.uint64(COUNTED_BELOW))]
+                first = n_first(own)
+                if prefix_length(len(own)) <= first:
+                    own = own[:first]
                 if len(own):
                     held.append(own)
                     owners.append(doc_id)
@@ -361,16 +368,24 @@ def _shared_shingles(posted: DataFrame) -> DataFrame:
 def _prefixes(classes: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows (hash, node): the shingles in a node's prefix that others may share.
 
-    A prefix starts with the counted shingles, rarest first (those of frequency 1 are not listed, but
-    count), and goes on with uncounted ones.
+    A prefix takes the first part of the order, then the second, each rarest first. Shingles of
+    frequency 1 are not listed, but they count and come first in their part.
     """
-    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("frequency", "hash"))).alias("shared"))
+    first = F.when((F.col("hash") >= 0) & (F.col("hash") < FIRST_BELOW), 0).otherwise(1)
+    listed = shared.groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(first.alias("part"), "frequency", "hash"))).alias("shared"),
+        F.count_if(first == 0).alias("listed_first"), F.count_if(first == 1).alias("listed_second"),
+    )
     length = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
-    joined = classes.select("node", "n", "n_counted", "rest").join(listed, "node", "left")
-    own = F.coalesce(F.col("shared.hash"), F.array().cast("array<long>"))
-    taken = F.greatest(F.lit(0), length - (F.col("n_counted") - F.size(own))).cast("int")
-    return joined.select(
-        "node", F.explode(F.concat(F.slice(own, F.lit(1), taken), F.col("rest"))).alias("hash")
+    n_first, n_second = F.col("n_first"), F.col("n") - F.col("n_first")
+    zero = F.lit(0)
+    taken_first = F.greatest(zero, F.least(length, n_first) - (n_first - F.col("listed_first")))
+    taken_second = F.greatest(zero, length - n_first - (n_second - F.col("listed_second")))
+    taken = F.slice("shared", 1, taken_first.cast("int")), F.slice(
+        "shared", (F.col("listed_first") + 1).cast("int"), taken_second.cast("int"))
+    return (
+        classes.select("node", "n", "n_first").join(listed, "node")
+        .select("node", F.explode(F.concat(*taken)).alias("entry")).select("node", "entry.hash")
     )
 
 
@@ -407,15 +422,16 @@ def _routes(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
         active.join(here, "hash").where(F.struct("size", "component") < F.col("largest"))
         .select("node", "block", "component", F.lit(1).alias("role")).distinct()
     )
-    return staged(living.unionByName(visits), "routes")
+    visits = staged(visits, "visits")
+    visited = visits.select("block").distinct()
+    return staged(visits.unionByName(living.join(visited, "block", "left_semi").select(*visits.columns)), "routes")
 
 
 def _search(docs: DataFrame, routes: DataFrame) -> DataFrame:
     """Links (a, b) between groups: visitors of a block searched in the inverted lists of those who live
     there. A task holds the lists of one block; visitors stream by."""
-    visited = routes.where("role = 1").select("block").distinct()
     dealt = (
-        _sets_of(docs, routes.join(visited, "block", "left_semi"), "block int, component long, role int")
+        _sets_of(docs, routes, "block int, component long, role int")
         .repartition("block").sortWithinPartitions("block", "role", "node")
     )
 
@@ -469,13 +485,13 @@ def join_components(docs: DataFrame) -> DataFrame:
     known = sets.where("doc_id is not null and signature is not null")
     classes = staged(
         known.groupBy("signature").agg(F.min_by(
-            F.struct(F.col("doc_id").alias("node"), "n", "n_counted", "rest", "minima"), F.col("doc_id")).alias("c"))
+            F.struct(F.col("doc_id").alias("node"), "n", "n_first", "minima"), F.col("doc_id")).alias("c"))
         .select("signature", "c.*"), "shingle-classes",
     )
     near = staged(_compare_relatives(docs, staged(_relatives(classes), "relatives")), "near-links")
     labels = staged(components(near), "near-components")
 
-    total = known.agg(F.sum("n_counted")).first()[0] or 0
+    total = known.agg(F.sum("n_first")).first()[0] or 0
     posted = _post(docs, max(8, -(-total // POSTINGS_PER_BUCKET)))
     prefixes = staged(_prefixes(classes, _shared_shingles(posted)), "prefixes")
     more = staged(_search(docs, _routes(prefixes, labels)), "far-links")
