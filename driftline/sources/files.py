@@ -1,5 +1,6 @@
 """Listing, probing and reading many Parquet files whose nested schemas differ."""
 
+import json
 from functools import reduce
 
 import pandas as pd
@@ -10,7 +11,7 @@ from driftline.staging import staged
 
 PROBE_SCHEMA = (
     "path string, file_name string, n_rows long, "
-    "fields array<struct<parent:string, name:string, type:string>>, error string"
+    "fields array<struct<parent:string, name:string, type:string>>, error string, schema string"
 )
 
 
@@ -19,14 +20,59 @@ PROBE_SCHEMA = (
 def read_occurrences(
     spark: SparkSession, path: str, recursive: bool = False, columns=None
 ) -> DataFrame:
-    """All Parquet files of a folder, or of the whole tree below it.
+    """All Parquet files of a folder, or of the whole tree below it, with the ``columns`` any of them has.
 
-    Any URI of a file system Spark knows. A public bucket is read without keys through
-    ``anonymous_bucket``.
+    The schema unites the footers of all files, so a column or struct field that some files lack is
+    null there and kept elsewhere. Any URI of a file system Spark knows. A public bucket is read
+    without keys through ``anonymous_bucket``.
     """
+    probed = staged(probe_files(file_manifest(spark, path, recursive)), "probe")
+    schema = united_schema(probed, columns)
     reader = spark.read.option("pathGlobFilter", "*.parquet")
-    df = reader.option("recursiveFileLookup", str(recursive).lower()).parquet(path)
-    return df.select(*columns) if columns else df
+    reader = reader.option("recursiveFileLookup", str(recursive).lower())
+    return (reader.schema(schema) if schema.fields else reader).parquet(path)
+
+
+def united_schema(probed: DataFrame, columns=None) -> T.StructType:
+    """The union of the schemas of all probed files, struct fields included, limited to ``columns``.
+
+    Integers and floats widen. Other clashes raise ``ValueError`` with the field's name, as no one
+    type can read all files; ``read_harmonised`` casts such fields. The driver gets each distinct
+    schema once.
+    """
+    known = probed.filter(F.col("schema").isNotNull())
+    rows = known.groupBy("schema").agg(F.min("path").alias("path")).orderBy("path").collect()
+    united = T.StructType()
+    for row in rows:
+        fields = T.StructType.fromJson(json.loads(row["schema"])).fields
+        united = _united(united, T.StructType([f for f in fields if columns is None or f.name in columns]), "")
+    return united
+
+
+def _united(a: T.DataType, b: T.DataType, name: str) -> T.DataType:
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            fields[f.name] = _united(fields.get(f.name, f.dataType), f.dataType, f"{name}.{f.name}".lstrip("."))
+        return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_united(a.elementType, b.elementType, name))
+    for widening in _WIDENINGS:
+        kinds = [type(t) for t in (a, b)]
+        if all(k in widening for k in kinds):
+            return max((a, b), key=lambda t: widening.index(type(t)))
+    raise ValueError(f"{name}: files have it as {a.simpleString()} and as {b.simpleString()}")
+
+
+_WIDENINGS = (
+    (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
+    (T.FloatType, T.DoubleType),
+    (T.ByteType, T.ShortType, T.IntegerType, T.DoubleType),
+)
 
 
 def anonymous_bucket(spark: SparkSession, bucket: str) -> None:
@@ -95,7 +141,7 @@ def _probe_one(path: str, deep: bool) -> dict:
     import pyarrow.parquet as pq
 
     row = {"path": path, "file_name": path.rsplit("/", 1)[-1],
-           "n_rows": None, "fields": None, "error": None}
+           "n_rows": None, "fields": None, "error": None, "schema": None}
     try:
         filesystem, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
         with filesystem.open_input_file(inner) as handle:
@@ -110,12 +156,28 @@ def _probe_one(path: str, deep: bool) -> dict:
             if deep:
                 for _ in parquet.iter_batches():
                     pass
-            row.update(n_rows=parquet.metadata.num_rows, fields=fields)
+            row.update(
+                n_rows=parquet.metadata.num_rows, fields=fields, schema=_spark_schema(parquet.schema_arrow)
+            )
     except Exception as problem:  # any unreadable file becomes a row of the quarantine
-        row["error"] = f"{type(problem).__name__}: {problem}"[:500]
+        row["error"] = f"{type(problem).__name__}: {problem}"
     return row
 
 
+def _spark_schema(schema) -> str | None:
+    """Spark's schema of a file as JSON; columns of types that Spark lacks are left out."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    fields = []
+    for field in schema:
+        try:
+            fields += from_arrow_schema(pa.schema([field])).fields
+        except Exception:  # noqa: BLE001, S112
+            continue
+    return T.StructType(fields).json()
+
+
 def probe_files(manifest: DataFrame, deep: bool = False) -> DataFrame:
     """Schema and row count of each file from its footer, or the error of reading it.
 
@@ -128,7 +190,7 @@ def probe_files(manifest: DataFrame, deep: bool = False) -> DataFrame:
     def probe(frames):
         for frame in frames:
             rows = [_probe_one(p, deep) for p in frame["path"]]
-            yield pd.DataFrame(rows, columns=["path", "file_name", "n_rows", "fields", "error"])
+            yield pd.DataFrame(rows, columns=["path", "file_name", "n_rows", "fields", "error", "schema"])
 
     return manifest.select("path").repartition(tasks, "path").mapInPandas(probe, PROBE_SCHEMA)
 
@@ -138,13 +200,14 @@ def quarantine(probed: DataFrame) -> DataFrame:
 
 
 def read_readable(
-    spark: SparkSession, path: str, recursive: bool = False, deep: bool = False
+    spark: SparkSession, path: str, recursive: bool = False, deep: bool = False, columns=None
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of the files that can be read, and the quarantine of the others."""
     probed = staged(probe_files(file_manifest(spark, path, recursive), deep), "probe")
     good = probed.filter(F.col("error").isNull()).select("path").orderBy("path").collect()
     # Paths only: the file index of the read holds them on the driver in any case.
-    return spark.read.parquet(*(r["path"] for r in good)), quarantine(probed)
+    rows = spark.read.schema(united_schema(probed, columns)).parquet(*(r["path"] for r in good))
+    return rows, quarantine(probed)
 
 
 # ---- reading with drifting schemas -------------------------------------------

@@ -247,7 +247,7 @@ def test_coverage_report_and_exports(spark, occurrence_files, tmp_path):
     kingdom = report.filter("field = 'kingdom'").first()
     assert (kingdom["records_with_data"], kingdom["total_records"]) == ("240", "240")
 
-    assert jobs.export_geojson(spark, str(occurrence_files), str(tmp_path / "geo")) == 240
+    assert jobs.export_geojson(spark, str(occurrence_files), str(tmp_path / "geo")) == (240, 0)
     lines = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "geo")).collect()]
     assert len(lines) == 240 and lines[0]["geometry"]["type"] == "Point"
     skipped = spark.read.parquet(str(tmp_path / "geo_unreadable")).collect()
@@ -277,3 +277,32 @@ def test_vocabulary_and_url_jobs(spark, tmp_path):
     }
     text = spark.read.parquet(str(tmp_path / "urls/texts")).first()
     assert (text["uid"], text["name"], text["text"]) == (0, "extracted_url_00000.md", "first")
+
+
+def test_jobs_keep_what_only_some_files_have(spark, tmp_path):
+    base = {f: pa.array(["x"], pa.string()) for f in CORE_FIELDS}
+    base |= {f: pa.array([1.5]) for f in ("bathymetry", "shoredistance", "decimalLatitude", "decimalLongitude")}
+
+    def write(name, n, extra=None, top=None, **changed):
+        fields = {**base, **(extra or {}), **changed}
+        struct = pa.StructArray.from_arrays([a.take(pa.array([0] * n)) for a in fields.values()], names=list(fields))
+        ids = pa.array([f"{name}-{i}" for i in range(n)])
+        columns = {"_id": ids, "dataset_id": pa.array([name] * n), "interpreted": struct, **(top or {})}
+        pq.write_table(pa.table(columns), tmp_path / "in" / f"{name}.parquet")
+
+    (tmp_path / "in").mkdir()
+    write("a", 3, top={"source": pa.array([1, 2, 3])})
+    write("b", 4, {"depth": pa.array([7.0]), "habitat": pa.array(["reef"])}, {"absence": pa.array([True] * 4)})
+    write("c", 2, {"depth": pa.array([2.0], pa.float32())}, {"source": pa.array(["s", "t"])},
+          decimalLatitude=pa.array([float("nan")]))
+    assert jobs.export_geojson(spark, str(tmp_path / "in"), str(tmp_path / "geo")) == (7, 2)
+    lines = [json.loads(r[0])["properties"] for r in spark.read.text(str(tmp_path / "geo")).collect()]
+    assert sum("depth" in x for x in lines) == sum(x.get("habitat") == "reef" for x in lines) == 4
+    assert spark.read.parquet(str(tmp_path / "geo_non_finite")).count() == 2
+    jobs.create_splits(spark, str(tmp_path / "in"), str(tmp_path / "out"), by_record=True, keep_missing=True)
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    found = rows.selectExpr("count(*)", "count(absence)", "count(interpreted.depth)", "count(interpreted.habitat)").first()
+    assert tuple(found) == (9, 4, 6, 4)
+    write("d", 1, {"depth": pa.array(["deep"])})
+    with pytest.raises(ValueError, match="interpreted.depth"):
+        jobs.create_splits(spark, str(tmp_path / "in"), str(tmp_path / "other"))
