@@ -28,6 +28,8 @@ SLACK, STANDARD_ERRORS = 0.5, 6.0
 EVIDENCE = 100
 _BLANK = 32
 _FLUSH = 1 << 21
+#: Characters that a task turns into windows at a time, or one text if it is longer.
+_CHARACTERS = 1 << 20
 
 
 def _folded() -> np.ndarray:
@@ -71,6 +73,18 @@ def _grams(texts: list[str | None], fold: np.ndarray):
     return packed[real], offsets_of(np.add.reduceat(real, bounds[:-1]) if len(texts) else [])
 
 
+def _parts(texts):
+    """Slices of a list of texts with at most _CHARACTERS characters each, or a single text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size > _CHARACTERS and i > start:
+            yield slice(start, i)
+            start, size = i, len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _count_batches(sent_fold):
     def run(batches):
         fold = sent_fold.value
@@ -87,9 +101,10 @@ def _count_batches(sent_fold):
             langs = np.array(batch.column(0).to_pylist())
             texts = batch.column(1).to_pylist()
             for lang in set(langs.tolist()):
-                grams, _ = _grams([texts[i] for i in np.flatnonzero(langs == lang)], fold)
-                found = np.unique(grams, return_counts=True)
-                held[lang] = _add(held[lang], found) if lang in held else found
+                own = [texts[i] for i in np.flatnonzero(langs == lang)]
+                for part in _parts(own):
+                    found = np.unique(_grams(own[part], fold)[0], return_counts=True)
+                    held[lang] = _add(held[lang], found) if lang in held else found
             if sum(len(g) for g, _ in held.values()) > _FLUSH:
                 yield from rows()
                 held = {}
@@ -302,7 +317,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         fields, fold = sent.value
         model = Model(**fields)
         for batch in batches:
-            lang, score, rejected = _predictions(model, batch.column(at).to_pylist(), fold)
+            texts = batch.column(at).to_pylist()
+            found = [_predictions(model, texts[part], fold) for part in _parts(texts)]
+            lang, score, rejected = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                 names=[*batch.schema.names, *new],
