@@ -18,14 +18,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow``; batches without rows are not handed to ``fn``."""
+def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema, rows: int | None = None) -> DataFrame:
+    """``mapInArrow``; batches without rows are not handed to ``fn``.
+
+    With ``rows``, ``fn`` gets slices of at most so many rows: a step that gives one batch for each
+    that it takes then holds, and sends, little at a time. Python workers outlive their tasks, so a
+    task gives back what it has freed when it ends.
+    """
     def run(batches: Batches) -> Batches:
-        yield from fn(b for b in batches if b.num_rows)
+        try:
+            yield from fn(
+                b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows or max(b.num_rows, 1))
+            )
+        finally:
+            give_back_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back_memory() -> None:
+    """Return memory that Arrow and the C library hold for reuse to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def offsets_of(lengths) -> np.ndarray:
     """Start of each item, and the end of the last, in the concatenation of items of these lengths."""
     ends = np.zeros(len(lengths) + 1, dtype=np.int64)

@@ -187,7 +187,7 @@ def decontaminate(
     """The documents without an overlap, all columns kept; no shuffle."""
     out = docs
     for sent in _item_blocks(benchmark, words_per_pass):
-        out = out.mapInArrow(_dropper(sent, docs.columns.index("text"), min_matched, agreement), docs.schema)
+        out = map_batches(out, _dropper(sent, docs.columns.index("text"), min_matched, agreement), docs.schema)
     return out
 
 

@@ -42,6 +42,8 @@ POSTINGS_PER_FLUSH = 1_000_000
 RESIDENTS_PER_BLOCK = 600
 MEMBERS_PER_GROUP = 1_000
 BROADCAST_ROWS = 1 << 20
+#: Rows that a step turns into sets, or compares, at a time.
+ROWS_AT_A_TIME = 1_000
 
 
 def shingles(text: str | None, memo, size: int = WORDS) -> np.ndarray:
@@ -179,7 +181,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 names=[f.split()[0] for f in _SETS.split(", ")],
             )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _SETS)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _SETS, ROWS_AT_A_TIME)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, columns: str) -> DataFrame:
@@ -198,7 +200,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, columns: str) -> DataFrame:
                 names=["node", "shingles", *names],
             )
 
-    return map_batches(rows, run, f"node long, shingles array<long>, {columns}")
+    return map_batches(rows, run, f"node long, shingles array<long>, {columns}", ROWS_AT_A_TIME)
 
 
 # ---- one likely relative ---------------------------------------------------------------------
@@ -256,7 +258,7 @@ def _compare_relatives(docs: DataFrame, relatives: DataFrame) -> DataFrame:
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_batches(dealt, run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long", ROWS_AT_A_TIME)
 
 
 # ---- frequencies and prefixes ----------------------------------------------------------------
@@ -332,7 +334,7 @@ def _post(docs: DataFrame, buckets: int) -> DataFrame:
             yield flush(held, owners, turn + 1 + owners[0] % 1009)
 
     known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return map_batches(known, run, _POSTED)
+    return map_batches(known, run, _POSTED, ROWS_AT_A_TIME)
 
 
 def _shared_shingles(posted: DataFrame) -> DataFrame:
@@ -468,7 +470,7 @@ def _search(docs: DataFrame, routes: DataFrame) -> DataFrame:
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_batches(dealt, run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long", ROWS_AT_A_TIME)
 
 
 def join_components(docs: DataFrame) -> DataFrame:
