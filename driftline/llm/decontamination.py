@@ -19,6 +19,8 @@ MASKS = ("111111", "1101111", "11011011", "111001011", "1010110011")
 MIN_MATCHED = 10
 MIN_AGREEMENT = 0.75
 WORDS_PER_PASS = 1 << 21
+#: Documents whose windows are hashed at a time.
+ROWS_AT_A_TIME = 1_000
 _BITS = 22
 
 OVERLAP = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matched long"
@@ -159,7 +161,8 @@ def find_overlaps(
     found = None
     for sent in _item_blocks(benchmark, words_per_pass):
         part = map_batches(
-            docs.select(F.col("doc_id").cast("long"), "text"), _finder(sent, min_matched, agreement), OVERLAP
+            docs.select(F.col("doc_id").cast("long"), "text"), _finder(sent, min_matched, agreement), OVERLAP,
+            ROWS_AT_A_TIME,
         )
         found = part if found is None else found.unionByName(part)
     return found
@@ -187,7 +190,8 @@ def decontaminate(
     """The documents without an overlap, all columns kept; no shuffle."""
     out = docs
     for sent in _item_blocks(benchmark, words_per_pass):
-        out = map_batches(out, _dropper(sent, docs.columns.index("text"), min_matched, agreement), docs.schema)
+        drop = _dropper(sent, docs.columns.index("text"), min_matched, agreement)
+        out = map_batches(out, drop, docs.schema, ROWS_AT_A_TIME)
     return out
 
 
