@@ -2,7 +2,7 @@
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftline.fields import CATEGORICAL_FIELDS, NUMERIC_FIELDS, SPLITS
 from driftline.functions.pvalues import chi2_tail, exact_ks_tail, kolmogorov_tail
@@ -30,34 +30,35 @@ def counts_by_split(df: DataFrame, fields: list[str], names=SPLITS) -> DataFrame
 
 
 def _totals(counts: DataFrame, names) -> DataFrame:
-    return counts.groupBy("feature").agg(*(F.sum(f"n_{s}").alias(f"total_{s}") for s in names))
+    """Values of each split, and of each pair the values that either has; one row per feature."""
+    return counts.groupBy("feature").agg(
+        *(F.sum(f"n_{s}").alias(f"total_{s}") for s in names),
+        *(F.count_if(F.col(f"n_{a}") + F.col(f"n_{b}") > 0).alias(f"values_{a}_{b}")
+          for a, b in split_pairs(names)),
+    )
+
+
+def _every_test(df: DataFrame, fields, names) -> DataFrame:
+    """One row per feature and pair, whether or not there is anything to test."""
+    rows = [(f, a, b) for f in fields for a, b in split_pairs(names)]
+    return df.sparkSession.createDataFrame(rows, "feature string, split_a string, split_b string")
 
 
 def ks_matrix(
-    df: DataFrame, fields: list[str] = NUMERIC_FIELDS, names=SPLITS,
-    min_values: int = MIN_VALUES, whole: bool = False, exact: bool = True,
+    df: DataFrame, fields: list[str] = NUMERIC_FIELDS, names=SPLITS, min_values: int = MIN_VALUES,
 ) -> DataFrame:
     """Two-sample KS per feature and pair: the largest gap between two step functions.
 
     One running sum per split over the merged values serves all pairs, because a third split's
-    values are places where the other two do not step. ``df`` is a sample; for a whole table pass
-    ``whole=True``, which spreads each feature over many tasks. ``exact`` uses the exact p-value
-    for samples of at most 10,000 values and the series beyond.
+    values are places where the other two do not step. Each feature is spread over many tasks. The
+    p-value comes from the series for all sizes; ``with_exact_ks_pvalue`` replaces it. A pair with
+    fewer than ``min_values`` values on a side has status ``skipped`` and no result.
     """
     numbers = df.select("split", *(F.col(f"`{f}`").cast("double").alias(f) for f in fields))
     counts = counts_by_split(numbers, fields, names).filter(~F.isnan("value"))
-    sums = {f"cum_{s}": f"n_{s}" for s in names}
-    if whole:
-        steps = with_running_sums(counts, [F.col("value")], sums, ("feature",))
-    else:
-        upto = (
-            Window.partitionBy("feature").orderBy("value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        steps = counts.select("*", *(F.sum(n).over(upto).alias(c) for c, n in sums.items()))
-    # One row per feature; of a whole table, taken from the staged steps.
-    totals = _totals(steps if whole else counts, names)
-    steps = steps.join(F.broadcast(totals), "feature")
+    steps = with_running_sums(counts, [F.col("value")], {f"cum_{s}": f"n_{s}" for s in names}, ("feature",))
+    # One row per feature, taken from the staged steps.
+    steps = steps.join(F.broadcast(_totals(steps, names)), "feature")
 
     def gap(a, b):
         f = F.try_divide(F.col(f"cum_{a}"), F.col(f"total_{a}"))
@@ -74,31 +75,44 @@ def ks_matrix(
                  F.col(f"d_{a}_{b}").alias("statistic"))
         for a, b in pairs
     ))
-    tests = wide.select("feature", F.inline(rows)).filter(
-        (F.col("n_a") >= min_values) & (F.col("n_b") >= min_values)
+    found = wide.select("feature", F.inline(rows))
+    tests = _every_test(df, fields, names).join(found, ["feature", "split_a", "split_b"], "left")
+    tests = tests.fillna(0, ["n_a", "n_b"])
+    enough = (F.col("n_a") >= min_values) & (F.col("n_b") >= min_values)
+    return (
+        tests.withColumn("statistic", F.when(enough, F.col("statistic")))
+        .withColumn("p_value", kolmogorov_tail(F.col("statistic"), F.col("n_a"), F.col("n_b")))
+        .withColumn("passed", F.col("p_value") > KS_P_PASS)
+        .withColumn("status", F.when(enough, "tested").otherwise("skipped"))
+    )
+
+
+def with_exact_ks_pvalue(tests: DataFrame) -> DataFrame:
+    """KS tests with the exact p-value in place of the series; its time grows with n_a times n_b."""
+    return tests.withColumn("p_value", exact_ks_tail("statistic", "n_a", "n_b")).withColumn(
+        "passed", F.col("p_value") > KS_P_PASS
     )
-    series = kolmogorov_tail(F.col("statistic"), F.col("n_a"), F.col("n_b"))
-    p = F.coalesce(exact_ks_tail("statistic", "n_a", "n_b"), series) if exact else series
-    return tests.withColumn("p_value", p).withColumn("passed", F.col("p_value") > KS_P_PASS)
 
 
 def chi2_matrix(
     df: DataFrame, fields: list[str] = CATEGORICAL_FIELDS, names=SPLITS,
-    min_values: int = MIN_VALUES, max_categories: int = MAX_CATEGORIES, whole: bool = False,
+    min_values: int = MIN_VALUES, max_categories: int | None = MAX_CATEGORIES,
 ) -> DataFrame:
     """Chi-squared and Cramer's V per feature and pair, over the most frequent categories.
 
-    With two categories the counts are moved half a step towards the expectation (Yates). ``df`` is
-    a sample; of a whole table (``whole=True``) the category counts are staged, as they are read twice.
+    ``max_categories=None`` takes all. ``n_all_categories`` and ``covered`` tell how many there are and
+    which share of the rows the tested ones hold. With two categories the counts are moved half a step
+    towards the expectation (Yates). Fewer than ``min_values`` values on a side or fewer than two
+    categories give a row with status ``skipped`` and nulls.
     """
     text = df.select("split", *(F.col(f"`{f}`").cast("string").alias(f) for f in fields))
-    counts = counts_by_split(text, fields, names)
-    if whole:
-        counts = staged(counts, "category-counts")
+    # Read twice, for the totals and for the cells.
+    counts = staged(counts_by_split(text, fields, names), "category-counts")
     pairs = F.array(*(
         F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"),
                  F.col(f"n_{a}").alias("o_a"), F.col(f"n_{b}").alias("o_b"),
-                 F.col(f"total_{a}").alias("t_a"), F.col(f"total_{b}").alias("t_b"))
+                 F.col(f"total_{a}").alias("t_a"), F.col(f"total_{b}").alias("t_b"),
+                 F.col(f"values_{a}_{b}").alias("n_all_categories"))
         for a, b in split_pairs(names)
     ))
     key = ["feature", "split_a", "split_b"]
@@ -110,14 +124,15 @@ def chi2_matrix(
         .withColumn("both", F.col("o_a") + F.col("o_b"))
         .filter(F.col("both") > 0)
     )
-    top = top_per_group(cells, key, [F.desc("both"), F.asc("value")], max_categories)
-    # At most max_categories rows per test from here on.
-    test = Window.partitionBy(*key)
-    table = top.select(
-        "*",
-        F.count("*").over(test).alias("n_categories"),
-        F.sum("o_a").over(test).alias("n_a"), F.sum("o_b").over(test).alias("n_b"),
+    if max_categories is not None:
+        cells = staged(
+            top_per_group(cells, key, [F.desc("both"), F.asc("value")], max_categories), "top-categories"
+        )
+    # One row per test.
+    sizes = cells.groupBy(*key).agg(
+        F.count("*").alias("n_categories"), F.sum("o_a").alias("n_a"), F.sum("o_b").alias("n_b")
     )
+    table = cells.join(F.broadcast(sizes), key)
 
     def term(observed, row_total):
         expected = F.try_divide(
@@ -129,15 +144,18 @@ def chi2_matrix(
         ).otherwise(distance)
         return F.try_divide(moved * moved, expected)
 
-    tests = (
-        table.groupBy(*key, "n_categories", "n_a", "n_b")
+    covered = (F.col("n_a") + F.col("n_b")) / (F.col("t_a") + F.col("t_b"))
+    found = (
+        table.groupBy(*key, "n_categories", "n_a", "n_b", "n_all_categories", covered.alias("covered"))
         .agg(F.sum(term("o_a", "n_a") + term("o_b", "n_b")).alias("statistic"))
         .filter(F.col("n_categories") >= 2)
     )
     return (
-        tests.withColumn("dof", (F.col("n_categories") - 1).cast("int"))
+        _every_test(df, fields, names).join(found, key, "left")
+        .withColumn("dof", (F.col("n_categories") - 1).cast("int"))
         .withColumn("cramers_v", F.sqrt(F.col("statistic") / (F.col("n_a") + F.col("n_b"))))
         .withColumn("passed", F.col("cramers_v") < CRAMERS_V_PASS)
+        .withColumn("status", F.when(F.col("n_categories").isNull(), "skipped").otherwise("tested"))
     )
 
 
@@ -147,25 +165,29 @@ def with_chi2_pvalue(tests: DataFrame) -> DataFrame:
 
 
 def equivalence_matrix(
-    sample: DataFrame, numeric=NUMERIC_FIELDS, categorical=CATEGORICAL_FIELDS, names=SPLITS,
-    min_values: int = MIN_VALUES,
+    df: DataFrame, numeric=NUMERIC_FIELDS, categorical=CATEGORICAL_FIELDS, names=SPLITS,
+    min_values: int = MIN_VALUES, max_categories: int | None = MAX_CATEGORIES,
 ) -> DataFrame:
-    """One row per feature and pair of splits, both kinds of test."""
-    columns = ["test", "feature", "split_a", "split_b", "statistic", "p_value", "effect", "passed"]
-    ks = ks_matrix(sample, numeric, names, min_values).select(
+    """One row per feature and pair of splits, both kinds of test, of a sample or a whole table."""
+    columns = ["test", "feature", "split_a", "split_b", "statistic", "p_value", "effect", "passed", "status"]
+    ks = ks_matrix(df, numeric, names, min_values).select(
         F.lit("KS").alias("test"), "*", F.col("statistic").alias("effect")
     )
-    chi2 = with_chi2_pvalue(chi2_matrix(sample, categorical, names, min_values)).select(
+    chi2 = with_chi2_pvalue(chi2_matrix(df, categorical, names, min_values, max_categories)).select(
         F.lit("Chi2").alias("test"), "*", F.col("cramers_v").alias("effect")
     )
     return ks.select(*columns).unionByName(chi2.select(*columns))
 
 
 def equivalence_summary(matrix: DataFrame) -> DataFrame:
-    """Tests passed, by kind and overall; all passed means the splits are interchangeable."""
-    tested = matrix.select(
+    """Tests passed, by kind and overall; all passed means the splits are interchangeable.
+
+    Skipped tests are counted apart.
+    """
+    rows = matrix.select(
         F.explode(F.array("test", F.lit("Overall"))).alias("test"), "passed"
     )
-    return tested.groupBy("test").agg(
-        F.count_if("passed").alias("n_passed"), F.count("*").alias("n_tests")
+    return rows.groupBy("test").agg(
+        F.count_if("passed").alias("n_passed"), F.count("passed").alias("n_tests"),
+        F.count_if(F.col("passed").isNull()).alias("n_skipped"),
     ).withColumn("equivalent", F.col("n_passed") == F.col("n_tests"))

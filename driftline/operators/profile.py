@@ -84,12 +84,11 @@ def _number(field: str) -> Column:
 
 
 def numeric_summary(
-    df: DataFrame, fields: list[str] = NUMERIC_FIELDS, by: str = "split", median: bool = False
+    df: DataFrame, fields: list[str] = NUMERIC_FIELDS, by: str = "split"
 ) -> DataFrame:
     """Count, mean, population standard deviation, minimum and maximum per split and field.
 
-    NaN is counted apart. ``median=True`` is for samples: it keeps the distinct values of a split
-    in one task. ``exact_medians`` has no such limit.
+    NaN is counted apart. ``exact_medians`` adds the medians.
     """
     def stats(field):
         x = _number(field)
@@ -99,13 +98,11 @@ def numeric_summary(
             F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
             F.min(x).alias("min"), F.max(x).alias("max"),
         ]
-        if median:
-            parts.append(F.median(x).alias("median"))
         return F.struct(*parts).alias(field)
 
     # One struct per field and split, then one row per field.
     wide = df.groupBy(by).agg(*(stats(f) for f in fields))
-    names = ["n_valid", "n_nan", "mean", "std", "min", "max"] + (["median"] if median else [])
+    names = ["n_valid", "n_nan", "mean", "std", "min", "max"]
     rows = F.array(*(
         F.struct(F.lit(f).alias("field"), *(F.col(f"`{f}`.{n}").alias(n) for n in names))
         for f in fields

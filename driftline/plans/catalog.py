@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.fields import (
-    CATEGORICAL_FIELDS, CORE_FIELDS, CUMULATIVE_MARKS, NUMERIC_FIELDS,
+    CATEGORICAL_FIELDS, CORE_FIELDS, CUMULATIVE_MARKS, GEOJSON_PROPERTIES, NUMERIC_FIELDS,
     OTHER_PHYLUM_COLOUR, PHYLUM_COLOURS, RAW_CATEGORICAL_FIELDS, RAW_NUMERIC_FIELDS, TERM_CATEGORIES,
 )
 from driftline.functions.hashing import dataset_bucket, record_bucket, split_of_bucket
@@ -17,8 +17,7 @@ from driftline.operators import (
 from driftline.plans import oracle as sql
 from driftline.sources import files, sinks
 from driftline.sources.given_tables import (
-    EXTENDED_SQL, OCCURRENCE_SQL, TABLES, interpreted_fields, occurrences,
-    spread_if_few, table,
+    EXTENDED_SQL, OCCURRENCE_SQL, TABLES, interpreted_fields, occurrences, table,
 )
 from driftline.staging import scratch_path, staged
 from driftline.streaming import ingest
@@ -63,7 +62,7 @@ def flat_sample(spark, sf_dir, by="dataset", fields=FEATURES, n=SAMPLE, keep_mis
 
 
 def captured_pages(spark, sf_dir) -> DataFrame:
-    return spread_if_few(table(spark, sf_dir, "pages"), "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 def protocols(spark, sf_dir) -> DataFrame:
@@ -226,20 +225,21 @@ def _numeric_sql(cte: str, source: str) -> str:
 _NUMERIC_OUT = ["split", "field", "n_valid", "mean", "std", "median", "min", "max"]
 
 
-@query(_numeric_sql(sql.with_sample("dataset", SAMPLE, complete=False), "smp"))
-def numeric_profile(spark, sf_dir):
-    """On the seeded sample, as the published figures are."""
-    df = flat_splits(spark, sf_dir, fields=NUMERIC_FIELDS, keep_missing=True)
-    stats = profile.numeric_summary(sampling.sample_per_split(df), median=True)
+def _numeric_profile(spark, sf_dir, by) -> DataFrame:
+    """On all rows, with an exact median that no task has to hold."""
+    df = flat_splits(spark, sf_dir, by, NUMERIC_FIELDS, keep_missing=True)
+    stats = profile.numeric_summary(df).join(profile.exact_medians(df), ["split", "field"])
     return rounded(rounded(stats, 4, "mean", "std"), 6, "median", "min", "max").select(_NUMERIC_OUT)
 
 
+@query(_numeric_sql(sql.with_splits("record", complete=False), "sp"))
+def numeric_profile(spark, sf_dir):
+    return _numeric_profile(spark, sf_dir, "record")
+
+
 @query(_numeric_sql(sql.with_splits("dataset", complete=False), "sp"))
 def numeric_profile_full(spark, sf_dir):
-    """On all rows, with an exact median that no task has to hold."""
-    df = flat_splits(spark, sf_dir, fields=NUMERIC_FIELDS, keep_missing=True)
-    stats = profile.numeric_summary(df).join(profile.exact_medians(df), ["split", "field"])
-    return rounded(rounded(stats, 4, "mean", "std"), 6, "median", "min", "max").select(_NUMERIC_OUT)
+    return _numeric_profile(spark, sf_dir, "dataset")
 
 
 def _categorical_sql(cte: str, source: str) -> str:
@@ -255,11 +255,10 @@ def _categorical_sql(cte: str, source: str) -> str:
     )
 
 
-@query(_categorical_sql(sql.with_sample("dataset", SAMPLE, complete=False), "smp"))
+@query(_categorical_sql(sql.with_splits("dataset", complete=False), "sp"))
 def categorical_profile(spark, sf_dir):
-    """On the seeded sample, as the published figures are."""
     df = flat_splits(spark, sf_dir, fields=CATEGORICAL_FIELDS, keep_missing=True)
-    return profile.categorical_profile(sampling.sample_per_split(df))
+    return profile.categorical_profile(df)
 
 
 @query(_categorical_sql(sql.with_splits("record", complete=False), "sp"))
@@ -332,12 +331,11 @@ def cumulative_curve(spark, sf_dir):
 
 
 @query(
-    f"with {sql.with_sample('dataset', SAMPLE)}, "
+    f"with {sql.with_splits('dataset')}, "
     f"marked_r as (select *, {sql.record_bucket('_id')} as bucket from occ where {sql.COMPLETE}), "
     f"sp_r as (select *, {sql.split_of('bucket')} as split from marked_r), "
-    "ranked_r as (select *, row_number() over (partition by split order by sha256('42:' || _id), _id) "
-    f"as rn from sp_r), six as (select 'dataset' as approach, split, phylum from smp union all "
-    f"select 'record', split, phylum from ranked_r where rn <= {SAMPLE}), "
+    "six as (select 'dataset' as approach, split, phylum from sp union all "
+    "select 'record', split, phylum from sp_r), "
     "top as (select phylum, count(*) as combined from six where phylum is not null "
     "group by 1 order by 2 desc, 1 limit 8), "
     "g as (select approach, split, count(*) as t from six where phylum is not null group by all), "
@@ -349,10 +347,10 @@ def cumulative_curve(spark, sf_dir):
 def combined_top_k(spark, sf_dir):
     six = None
     for by in ("dataset", "record"):
-        sample = sampling.sample_per_split(flat_splits(spark, sf_dir, by, ["phylum"]))
-        part = sample.select(F.lit(by).alias("approach"), "split", "phylum")
+        rows = flat_splits(spark, sf_dir, by, ["phylum"])
+        part = rows.select(F.lit(by).alias("approach"), "split", "phylum")
         six = part if six is None else six.unionByName(part)
-    six = staged(six, "six-samples")
+    six = staged(six, "six-splits")
     return rounded(vocabulary.combined_top_k(six, "phylum", ["approach", "split"]), 6, "pct")
 
 
@@ -381,21 +379,21 @@ def _tests_out(df: DataFrame, digits: dict[str, int]) -> DataFrame:
 
 
 _KS = {"statistic": 9, "p_value": 6}
-_CHI2 = {"statistic": 5, "cramers_v": 7}
+_CHI2 = {"statistic": 5, "cramers_v": 7, "covered": 9}
 
 
 @query(sql.ks_sql(sql.with_sample("dataset", SAMPLE), "smp"))
 def ks_matrix(spark, sf_dir):
-    """On samples, p-value from the series for all sizes."""
+    """On samples, the published method."""
     sample = flat_sample(spark, sf_dir, fields=NUMERIC_FIELDS)
-    return _tests_out(equivalence.ks_matrix(sample, exact=False), _KS)
+    return _tests_out(equivalence.ks_matrix(sample), _KS)
 
 
 @query(sql.ks_sql(sql.with_splits("record", complete=False), "sp"))
 def ks_matrix_full(spark, sf_dir):
     """On all rows, each feature spread over many tasks."""
     df = flat_splits(spark, sf_dir, "record", NUMERIC_FIELDS, keep_missing=True)
-    return _tests_out(equivalence.ks_matrix(df, whole=True, exact=False), _KS)
+    return _tests_out(equivalence.ks_matrix(df), _KS)
 
 
 @query(sql.chi2_sql(sql.with_sample("dataset", SAMPLE), "smp"))
@@ -404,16 +402,48 @@ def chi2_matrix(spark, sf_dir):
     return _tests_out(equivalence.chi2_matrix(sample), _CHI2)
 
 
-@query()
+@query(sql.chi2_sql(sql.with_splits("record", complete=False), "sp"))
+def chi2_matrix_full(spark, sf_dir):
+    df = flat_splits(spark, sf_dir, "record", CATEGORICAL_FIELDS, keep_missing=True)
+    return _tests_out(equivalence.chi2_matrix(df), _CHI2)
+
+
+@query(sql.chi2_sql(sql.with_sample("record", SAMPLE), "smp", p_value=True))
 def chi2_pvalue(spark, sf_dir):
     sample = flat_sample(spark, sf_dir, "record", CATEGORICAL_FIELDS)
-    return equivalence.with_chi2_pvalue(equivalence.chi2_matrix(sample))
+    tests = equivalence.with_chi2_pvalue(equivalence.chi2_matrix(sample))
+    return _tests_out(tests, _CHI2 | {"p_value": 6})
+
+
+def _matrix_sql(cte: str, source: str) -> str:
+    ks = sql.ks_sql(cte, source).replace("with ", "", 1)
+    chi2 = sql.chi2_sql(cte, source, p_value=True).replace("with ", "", 1)
+    out = "feature, split_a, split_b, statistic, p_value"
+    return (
+        f"with k as (with {ks}), c as (with {chi2}) select 'KS' as test, {out}, statistic as effect, "
+        f"passed, status from k union all select 'Chi2', {out}, cramers_v, passed, status from c"
+    )
+
+
+def _matrix_out(matrix: DataFrame) -> DataFrame:
+    def to(name, ks, chi2):
+        return F.when(F.col("test") == "KS", F.round(name, ks)).otherwise(F.round(name, chi2))
 
+    return matrix.withColumns({
+        "statistic": to("statistic", 9, 5), "effect": to("effect", 9, 7), "p_value": F.round("p_value", 6),
+    })
 
-@query()
+
+@query(_matrix_sql(sql.with_sample("dataset", SAMPLE), "smp"))
 def equivalence_matrix(spark, sf_dir):
-    """All 36 tests of the survey-level split, exact p-values for small samples."""
-    return equivalence.equivalence_matrix(flat_sample(spark, sf_dir))
+    """All 36 tests of the survey-level split, on samples."""
+    return _matrix_out(equivalence.equivalence_matrix(flat_sample(spark, sf_dir)))
+
+
+@query(_matrix_sql(sql.with_splits("dataset", complete=False), "sp"))
+def equivalence_matrix_full(spark, sf_dir):
+    """All 36 tests of the survey-level split, on all rows."""
+    return _matrix_out(equivalence.equivalence_matrix(flat_splits(spark, sf_dir, keep_missing=True)))
 
 
 def _summary_sql(cte: str, source: str) -> str:
@@ -423,7 +453,8 @@ def _summary_sql(cte: str, source: str) -> str:
         f"with k as (with {ks}), c as (with {chi2}), a as (select 'KS' as test, passed from k "
         "union all select 'Chi2', passed from c), b as (select test, passed from a union all "
         "select 'Overall', passed from a) select test, count(*) filter (where passed) as n_passed, "
-        "count(*) as n_tests, bool_and(passed) as equivalent from b group by test"
+        "count(passed) as n_tests, count(*) - count(passed) as n_skipped, "
+        "coalesce(bool_and(passed), true) as equivalent from b group by test"
     )
 
 
@@ -455,8 +486,7 @@ def _legacy_rows(spark, sf_dir) -> DataFrame:
 def legacy_ks(spark, sf_dir):
     """Raw ``source`` fields, splits given by lists of surveys, all rows."""
     tests = equivalence.ks_matrix(
-        _legacy_rows(spark, sf_dir), RAW_NUMERIC_FIELDS, ("train", "val", "test"), 10,
-        whole=True, exact=False,
+        _legacy_rows(spark, sf_dir), RAW_NUMERIC_FIELDS, ("train", "val", "test"), 10
     )
     return _tests_out(tests, _KS)
 
@@ -466,8 +496,7 @@ def legacy_ks(spark, sf_dir):
 ))
 def legacy_chi2(spark, sf_dir):
     tests = equivalence.chi2_matrix(
-        _legacy_rows(spark, sf_dir), RAW_CATEGORICAL_FIELDS, ("train", "val", "test"), 10,
-        whole=True,
+        _legacy_rows(spark, sf_dir), RAW_CATEGORICAL_FIELDS, ("train", "val", "test"), 10
     )
     return _tests_out(tests, _CHI2)
 
@@ -484,7 +513,40 @@ def geo_features(spark, sf_dir):
     return geography.geo_features(occurrences(spark, sf_dir), keep=["_id"])
 
 
-@query()
+def _java_double(x: str) -> str:
+    """Text of a double with at most five decimals; below a thousandth the other engine writes an exponent."""
+    units = f"round(abs({x}) * 100000)::int"
+    small = (
+        f"case when {x} < 0 then '-' else '' end || case when {units} >= 10 then ({units} // 10) || '.' || "
+        f"({units} % 10) || 'E-4' else {units} || '.0E-5' end"
+    )
+    return f"case when abs({x}) > 0 and abs({x}) < 0.001 then {small} else {x}::varchar end"
+
+
+def _json_pairs(fields: dict[str, tuple[str, bool]], between: str, colon: str, null: str) -> str:
+    """``"name":value`` texts of non-null fields, joined; ``null`` stands for the others."""
+    def pair(name, value, quoted):
+        text = f"'\"' || replace(replace({value}, '\\', '\\\\'), '\"', '\\\"') || '\"'" if quoted else _java_double(value)
+        shown = f"'\"{name}\"{colon}' || {text}"
+        return f"case when {value} is null then {null.format(name)} else {shown} end"
+
+    return f"concat_ws({between}, " + ", ".join(pair(n, v, s) for n, (v, s) in fields.items()) + ")"
+
+
+_PROPERTIES = _json_pairs({
+    p: (f"round({f}, 1)", False) if f in ("depth", "bathymetry") else (sql.q(f), True)
+    for p, f in GEOJSON_PROPERTIES.items()
+}, "','", ":", "null")
+
+
+@query(
+    f"with occ as ({EXTENDED_SQL}), f as (select *, round(decimalLongitude, 5) as lon, "
+    "round(decimalLatitude, 5) as lat from occ "
+    "where decimalLatitude is not null and decimalLongitude is not null) "
+    "select '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || "
+    f"{_java_double('lon')} || ',' || {_java_double('lat')} || ']}},\"properties\":{{' || {_PROPERTIES} "
+    "|| '}}' as value from f"
+)
 def geojson_lines(spark, sf_dir):
     return geography.geojson_lines(geography.geo_features(occurrences(spark, sf_dir)))
 
@@ -546,12 +608,12 @@ def hexbin(spark, sf_dir):
     ), 6, *_HEX_OUT)
 
 
-@query(_hex_sql(sql.with_sample("dataset", SAMPLE), "smp", "split,"))
+@query(_hex_sql(sql.with_splits("dataset"), "sp", "split,"))
 def hexbin_by_split(spark, sf_dir):
-    """The seeded sample of each split, coordinates kept in pairs."""
+    """All points of each split."""
     coords = ["decimalLatitude", "decimalLongitude"]
-    sample = sampling.sample_per_split(flat_splits(spark, sf_dir, fields=coords))
-    return rounded(geography.hex_density(sample, by=["split"]), 6, *_HEX_OUT)
+    df = flat_splits(spark, sf_dir, fields=coords)
+    return rounded(geography.hex_density(df, by=["split"]), 6, *_HEX_OUT)
 
 
 _X, _Y = sql.tile("z")
@@ -961,6 +1023,16 @@ def collated_batches(spark, sf_dir):
     )
 
 
-@query()
+_DOUBLES = ("bathymetry", "shoredistance", "decimalLatitude", "decimalLongitude", "depth")
+_SHOWN = _json_pairs(
+    {f: (sql.q(f), f not in _DOUBLES) for f in [*CORE_FIELDS, "depth", "habitat", "waterBody"]},
+    "',' || chr(10) || '  '", " : ", "'\"{}\" : null'",
+)
+
+
+@query(
+    f"with occ as ({EXTENDED_SQL}), one as (select * from occ order by _id limit 1) "
+    f"select _id, '{{' || chr(10) || '  ' || {_SHOWN} || chr(10) || '}}' as json from one"
+)
 def inspect_one(spark, sf_dir):
     return batches.inspect_first(occurrences(spark, sf_dir))

@@ -93,17 +93,22 @@ steps as (select *, sum(ca) over w as fa, sum(cb) over w as fb,
             sum(cb) over (partition by feature, split_a, split_b) as n_b
           from sides window w as (partition by feature, split_a, split_b order by value
                                  rows between unbounded preceding and current row)),
-tests as (select feature, split_a, split_b, n_a::bigint as n_a, n_b::bigint as n_b,
-            max(abs(fa / n_a - fb / n_b)) as d
-          from steps where n_a >= {min_values} and n_b >= {min_values} group by all),
+found as (select feature, split_a, split_b, max(n_a) as n_a, max(n_b) as n_b,
+            max(abs(fa / nullif(n_a, 0) - fb / nullif(n_b, 0))) as gap
+          from steps group by feature, split_a, split_b),
+every as (select f.feature, p.split_a, p.split_b, coalesce(t.n_a, 0)::bigint as n_a,
+            coalesce(t.n_b, 0)::bigint as n_b, t.gap
+          from (values {', '.join(f'({lit(f)})' for f in fields)}) f(feature) cross join pairs p
+          left join found t on t.feature = f.feature and t.split_a = p.split_a and t.split_b = p.split_b),
+tests as (select *, case when least(n_a, n_b) >= {min_values} then gap end as d from every),
 lam as (select *, sqrt(n_a::double * n_b / (n_a + n_b)) as e from tests),
 lam2 as (select *, e * d + 1 / (6 * e) + (e * d - 1) / (4 * e * e) as z from lam),
-p as (select *, case when z < 0.2 then 1.0::double else greatest(0.0::double, least(1.0::double,
+p as (select *, case when d is null then null when z < 0.2 then 1.0::double else greatest(0.0::double, least(1.0::double,
         list_sum(list_transform(range(1, 101),
           lambda k: (case when k % 2 = 1 then 2.0 else -2.0 end)::double
                * exp(-2.0::double * k * k * z * z))))) end as pv from lam2)
 select feature, split_a, split_b, n_a, n_b, round(d, 9) as statistic, round(pv, 6) as p_value,
-  pv > 0.05 as passed from p"""
+  pv > 0.05 as passed, case when d is null then 'skipped' else 'tested' end as status from p"""
 
 
 def chi2_tests(cte: str, source: str, fields=CATEGORICAL_FIELDS, names=("train", "dev", "test"),
@@ -120,6 +125,7 @@ sides as (select p.split_a, p.split_b, l.feature, l.value,
            count(*) filter (where l.split = p.split_b)::double as ob
          from long l join pairs p on l.split in (p.split_a, p.split_b) group by all),
 sized as (select *, sum(oa) over t as ta, sum(ob) over t as tb,
+            count(*) over t as k_all,
             row_number() over (partition by feature, split_a, split_b order by oa + ob desc, value) as r
           from sides window t as (partition by feature, split_a, split_b)),
 capped as (select *, sum(oa) over t as n_a, sum(ob) over t as n_b, count(*) over t as k
@@ -128,16 +134,33 @@ capped as (select *, sum(oa) over t as n_a, sum(ob) over t as n_b, count(*) over
 expect as (select *, n_a * (oa + ob) / (n_a + n_b) as ea, n_b * (oa + ob) / (n_a + n_b) as eb from capped),
 moved as (select *, case when k = 2 then least(0.5, abs(oa - ea)) else 0 end as ma,
                     case when k = 2 then least(0.5, abs(ob - eb)) else 0 end as mb from expect),
-tests as (select feature, split_a, split_b, k, n_a, n_b,
+found as (select feature, split_a, split_b, k, n_a, n_b, k_all, (n_a + n_b) / (ta + tb) as covered,
             sum((abs(oa - ea) - ma) ** 2 / ea + (abs(ob - eb) - mb) ** 2 / eb) as stat
-          from moved where k >= 2 group by all)"""
+          from moved where k >= 2 group by all),
+tests as (select f.feature, p.split_a, p.split_b, t.* exclude (feature, split_a, split_b), t.stat / 2 as half
+          from (values {', '.join(f'({lit(f)})' for f in fields)}) f(feature) cross join pairs p
+          left join found t on t.feature = f.feature and t.split_a = p.split_a and t.split_b = p.split_b)"""
 
 
-def chi2_sql(cte: str, source: str, **kw) -> str:
+# Upper tail of chi-squared in closed form. For odd degrees it starts from the error function, 1 minus a
+# series of positive terms, which is below all printed digits from 40 on.
+_CHI2_TAIL = """case when half is null then null when half = 0 then 1.0::double else least(1.0::double,
+  (case when k % 2 = 1 then exp(-half) when half >= 40 then 0.0::double
+    else 1 - list_sum(list_transform(range(0, 300),
+      lambda j: exp((j + 0.5::double) * ln(half) - half - lgamma(j + 1.5::double)))) end)
+  + coalesce(list_sum(list_transform(range(0, ((k - 2) // 2)::bigint),
+      lambda j: exp((j + (case when k % 2 = 1 then 1.0 else 0.5 end)::double) * ln(half) - half
+        - lgamma(j + (case when k % 2 = 1 then 2.0 else 1.5 end)::double)))), 0)) end"""
+
+
+def chi2_sql(cte: str, source: str, p_value: bool = False, **kw) -> str:
+    tail = f"round({_CHI2_TAIL}, 6) as p_value, " if p_value else ""
     return f"""with {chi2_tests(cte, source, **kw)}
 select feature, split_a, split_b, k as n_categories, n_a::bigint as n_a, n_b::bigint as n_b,
-  round(stat, 5) as statistic, (k - 1)::int as dof, round(sqrt(stat / (n_a + n_b)), 7) as cramers_v,
-  sqrt(stat / (n_a + n_b)) < 0.1 as passed from tests"""
+  round(stat, 5) as statistic, (k - 1)::int as dof, round(sqrt(stat / (n_a + n_b)), 7) as cramers_v, {tail}
+  k_all as n_all_categories, round(covered, 9) as covered,
+  sqrt(stat / (n_a + n_b)) < 0.1 as passed, case when k is null then 'skipped' else 'tested' end as status
+from tests"""
 
 
 def html_text(column: str) -> str:

@@ -26,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-def spread_if_few(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all cores where the scan has fewer partitions than there are cores.
-
-    A small file is one row group and would keep one core busy; a large table is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 _CORE = """
   cast(l.l_orderkey as string) || '-' || cast(l.l_linenumber as string) || '-'
     || cast(l.l_partkey as string) || '-' || cast(l.l_suppkey as string) || '-'
@@ -118,7 +109,6 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in names:
         sql = sql.replace(f" {name} {name[0]}", f" {{{name}}} {name[0]}")
     given = {name: table(spark, sf_dir, name) for name in names}
-    given["lineitem"] = spread_if_few(given["lineitem"], "l_orderkey", "l_linenumber")
     flat = spark.sql(sql, **given)
     raw = [F.col(f"`{f}`") for f in _RAW_TEXT] + [
         F.col("latitude_degree").cast("string").alias("decimalLatitude"),

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -131,9 +132,9 @@ def test_coverage_in_several_chunks(spark):
 def test_numeric_summary_with_nan(spark):
     data = [("a", float(v)) for v in (1, 2, 2, 10)] + [("a", float("nan")), ("a", None), ("b", None)]
     df = spark.createDataFrame(data, "split string, x double")
-    stats = {r["split"]: r for r in profile.numeric_summary(df, ["x"], median=True).collect()}
+    stats = {r["split"]: r for r in profile.numeric_summary(df, ["x"]).collect()}
     a = stats["a"]
-    assert (a["n_valid"], a["n_nan"], a["min"], a["max"], a["median"]) == (4, 1, 1.0, 10.0, 2.0)
+    assert (a["n_valid"], a["n_nan"], a["min"], a["max"]) == (4, 1, 1.0, 10.0)
     assert a["std"] == pytest.approx(np.std([1, 2, 2, 10])) and stats["b"]["n_valid"] == 0
 
 
@@ -210,15 +211,17 @@ def _ks(a, b):
                          - np.searchsorted(b, merged, "right") / len(b)))
 
 
-@pytest.mark.parametrize("whole", [False, True])
-def test_ks_matches_numpy(spark, whole):
+def test_ks_matches_numpy(spark):
     rng = np.random.default_rng(5)
     data = {"train": np.round(rng.normal(0, 1, 800), 2), "dev": np.round(rng.normal(0.2, 1, 300), 2),
             "test": np.round(rng.normal(0, 1, 15), 2)}
     rows = [(s, float(v)) for s, vs in data.items() for v in vs] + [("dev", None), ("dev", float("nan"))]
     df = spark.createDataFrame(rows, "split string, x double")
-    got = {(r["split_a"], r["split_b"]): r for r in equivalence.ks_matrix(df, ["x"], whole=whole).collect()}
-    assert set(got) == {("train", "dev")}  # test has fewer than 20 values
+    got = {(r["split_a"], r["split_b"]): r for r in equivalence.ks_matrix(df, ["x"]).collect()}
+    # test has fewer than 20 values
+    assert {k: r["status"] for k, r in got.items()} == {
+        ("train", "dev"): "tested", ("train", "test"): "skipped", ("dev", "test"): "skipped"}
+    assert got["train", "test"]["passed"] is None and got["train", "test"]["n_b"] == 15
     r = got[("train", "dev")]
     assert r["statistic"] == pytest.approx(_ks(data["train"], data["dev"]), abs=1e-15)
     assert (r["n_a"], r["n_b"]) == (800, 300)
@@ -260,20 +263,43 @@ def test_chi2_two_categories_is_corrected(spark):
     assert got["cramers_v"] == pytest.approx((yates / n) ** 0.5)
 
 
+def test_ks_exact_pvalue_is_chosen_by_the_caller(spark):
+    rows = [(s, float(i + shift)) for s, shift in (("train", 0), ("dev", 9)) for i in range(30)]
+    tests = equivalence.ks_matrix(spark.createDataFrame(rows, "split string, x double"), ["x"])
+    series = {(r["split_a"], r["split_b"]): r["p_value"] for r in tests.collect()}
+    exact = {(r["split_a"], r["split_b"]): r["p_value"] for r in equivalence.with_exact_ks_pvalue(tests).collect()}
+    # closed form for equal sizes n: 2 * sum of (-1)**(k - 1) * C(2n, n - 9k) / C(2n, n)
+    reflected = 2 * sum((-1) ** (k - 1) * math.comb(60, 30 - 9 * k) for k in (1, 2, 3)) / math.comb(60, 30)
+    assert exact["train", "dev"] == pytest.approx(reflected)
+    assert series["train", "dev"] == pytest.approx(reflected, abs=0.03)
+    assert exact["train", "test"] is None and series["train", "test"] is None
+
+
+def test_tests_without_any_value_are_rows(spark):
+    df = spark.createDataFrame([("train", None, None)], "split string, x double, c string")
+    matrix = equivalence.equivalence_matrix(df, ["x"], ["c"]).collect()
+    assert len(matrix) == 6 and all(r["status"] == "skipped" and r["passed"] is None for r in matrix)
+
+
 def test_chi2_guards_and_cap(spark):
     one = spark.createDataFrame([("train", "a")] * 30 + [("dev", "a")] * 30, "split string, c string")
-    assert equivalence.chi2_matrix(one, ["c"], ("train", "dev")).count() == 0
+    skipped = equivalence.chi2_matrix(one, ["c"], ("train", "dev")).first()
+    assert skipped["status"] == "skipped" and skipped["statistic"] is None and skipped["passed"] is None
     few = spark.createDataFrame([("train", "a")] * 30 + [("dev", "b")] * 19, "split string, c string")
-    assert equivalence.chi2_matrix(few, ["c"], ("train", "dev")).count() == 0
+    assert equivalence.chi2_matrix(few, ["c"], ("train", "dev")).first()["status"] == "skipped"
     many = spark.range(600).selectExpr(
         "if(id % 2 = 0, 'train', 'dev') as split", "cast(id % 120 as string) as c")
-    assert equivalence.chi2_matrix(many, ["c"], ("train", "dev")).first()["n_categories"] == 50
+    capped = equivalence.chi2_matrix(many, ["c"], ("train", "dev")).first()
+    assert (capped["n_categories"], capped["n_all_categories"]) == (50, 120)
+    assert capped["covered"] == pytest.approx(50 / 120)
+    whole = equivalence.chi2_matrix(many, ["c"], ("train", "dev"), max_categories=None).first()
+    assert (whole["n_categories"], whole["covered"]) == (120, 1.0)
 
 
 def test_summary(spark):
-    df = spark.createDataFrame([("KS", True), ("KS", True), ("Chi2", False)], "test string, passed boolean")
+    df = spark.createDataFrame([("KS", True), ("KS", True), ("KS", None), ("Chi2", False)], "test string, passed boolean")
     got = {r["test"]: tuple(r)[1:] for r in equivalence.equivalence_summary(df).collect()}
-    assert got == {"KS": (2, 2, True), "Chi2": (0, 1, False), "Overall": (2, 3, False)}
+    assert got == {"KS": (2, 2, 1, True), "Chi2": (0, 1, 0, False), "Overall": (2, 3, 1, False)}
 
 
 # ---- geography ------------------------------------------------------------------------
