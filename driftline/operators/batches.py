@@ -17,6 +17,11 @@ def indexed_samples(df: DataFrame, key: str = "_id", fields=CORE_FIELDS) -> Data
     return with_row_index(flat, [F.col(key)])
 
 
+def unnested(df: DataFrame, key: str = "_id", struct: str = "interpreted") -> DataFrame:
+    """The key and every field of the struct as a column."""
+    return df.select(key, f"{struct}.*")
+
+
 def row_at(indexed: DataFrame, idx: int) -> DataFrame:
     """The row with this index; fails for an index outside the table.
 

@@ -32,7 +32,7 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def first_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Address, text and emptiness of the first captured page of each candidate.
+    """Address, text and emptiness (null without HTML) of the first captured page of each candidate.
 
     Captures are reduced to one id per address before any join, so an address that was captured a
     great many times is added up where it is read. Text is taken where the chosen pages are read;
@@ -42,18 +42,22 @@ def first_pages(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     chosen = first.join(candidates.select(F.col(VALUE).alias("url")), "url", "left_semi")
     texts = pages.join(chosen, ["url", "page_id"], "left_semi").select(
         F.col("url").alias(VALUE), html_to_text(F.col("html")).alias("text"),
-        (F.coalesce("html", F.lit("")) == "").alias("empty"),
+        (F.col("html") == "").alias("empty"),
     )
     return texts.groupBy(VALUE).agg(F.min("text").alias("text"), F.min("empty").alias("empty"))
 
 
 def url_outcomes(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per candidate: was text extracted, where is it, and if not, why."""
+    """One row per candidate: was text extracted, where is it, and if not, why.
+
+    A page on the rendered route that was never captured could not be read; one that was captured
+    empty counts as not downloaded, as on the static route.
+    """
     outcome = candidates.join(first_pages(candidates, pages), VALUE, "left")
     missing = F.coalesce("empty", F.lit(True))
     rendered = F.col("route") == "rendered"
     note = (
-        F.when(missing & rendered, NOTE_RENDER_FAILED)
+        F.when(F.col("empty").isNull() & rendered, NOTE_RENDER_FAILED)
         .when(missing, NOTE_NO_CONTENT)
         .when(F.col("text").isNull(), NOTE_NO_TEXT)
         .otherwise(NOTE_OK)

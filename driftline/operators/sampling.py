@@ -1,5 +1,7 @@
 """Exact, repeatable samples."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from driftline.functions.hashing import order_hash
@@ -58,6 +60,11 @@ def staged_sample(df: DataFrame, columns: list, n: int = SAMPLE_ROWS, seed: int
     return staged(sample_per_split(df, n, seed).select("split", *columns), "sample")
 
 
+def distinct_union(*samples: DataFrame) -> DataFrame:
+    """Rows that any of the samples has, each once."""
+    return reduce(DataFrame.unionByName, samples).distinct()
+
+
 def paired_coordinates(sample: DataFrame, lat: str = "decimalLatitude",
                        lon: str = "decimalLongitude") -> DataFrame:
     """Rows that have both coordinates, so that the pairs stay together."""

@@ -363,6 +363,17 @@ def split_sample(spark, sf_dir):
     ).select("split", "_id")
 
 
+@query(" union ".join(
+    f"select _id from (with {sql.with_sample(by, 1000)} select _id from smp)" for by in ("dataset", "record")
+))
+def samples_united(spark, sf_dir):
+    """Records that the sample of either split has, each once."""
+    return sampling.distinct_union(*(
+        sampling.sample_per_split(split_occ(spark, sf_dir, by).select("_id", "split"), 1000).select("_id")
+        for by in ("dataset", "record")
+    ))
+
+
 @query(
     f"with {sql.with_sample('record', 2000, complete=False)} "
     "select split, _id, decimalLatitude, decimalLongitude from smp "
@@ -747,7 +758,7 @@ _OUTCOMES = (
     f"{sql.real('v')} as is_real_url, "
     "case when text is not null and coalesce(html, '') <> '' "
     "then printf('extracted_url_%05d.md', uid) else '' end as extracted_md_fpath, "
-    "case when coalesce(html, '') = '' and contains(v, 'protocols.io') then 'failed to read site content' "
+    "case when html is null and contains(v, 'protocols.io') then 'failed to read site content' "
     "when coalesce(html, '') = '' then 'failed to download site content' "
     "when text is null then 'failed to extract markdown from downloaded site content' "
     "else '' end as extraction_notes, text from joined)"
@@ -949,6 +960,49 @@ def sink_page_texts(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(
+    "select count(*) filter (where doc_id % 2 is not null) as n_rows, "
+    "count(text) filter (where doc_id % 2 = 0) as n_texts, "
+    "sum(length(text)) filter (where doc_id % 2 = 0)::bigint as sum_chars, "
+    "count(source) filter (where doc_id % 2 <> 0) as n_sources from documents"
+)
+def read_tree(spark, sf_dir):
+    """Files below two folders of a tree, each with a column that the other lacks, as one table."""
+    out = scratch_path(spark, "tree")
+    docs = table(spark, sf_dir, "documents")
+    docs.filter("doc_id % 2 = 0").select("doc_id", "text").write.parquet(f"{out}/even")
+    docs.filter("doc_id % 2 <> 0").select("doc_id", "source").write.parquet(f"{out}/odd/deeper")
+    return files.read_occurrences(spark, out, recursive=True).agg(
+        F.count("*").alias("n_rows"), F.count("text").alias("n_texts"),
+        F.sum(F.length("text")).alias("sum_chars"), F.count("source").alias("n_sources"),
+    )
+
+
+@query(
+    f"with occ as ({OCCURRENCE_SQL}) select dataset_id || '.parquet' as source, count(*) as n from occ "
+    "where cast(substr(dataset_id, 4) as bigint) % 3 = 0 group by 1"
+)
+def rows_of_listed_files(spark, sf_dir):
+    """Rows of the files that a written list names; the list has padded and blank lines."""
+    out = scratch_path(spark, "file-list")
+    rows = protocols(spark, sf_dir)
+    number = F.regexp_extract("source", r"^ds-(\d+)\.parquet$", 1).cast("long")
+    named = rows.select("source").distinct().filter(number % 3 == 0)
+    named.select(F.concat(F.lit(" "), "source", F.lit("\t\n \n")).alias("value")).write.text(out)
+    listed = files.read_file_list(spark, out)
+    return files.rows_of_files(rows, listed, "source").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("select lang, count(*) as n from documents group by lang")
+def sink_once(spark, sf_dir):
+    """What is written first stays; a second write to the same place does nothing."""
+    out = scratch_path(spark, "once")
+    docs = table(spark, sf_dir, "documents")
+    for column in ("lang", "source"):
+        sinks.write_once(docs.groupBy(F.col(column).alias("lang")).agg(F.count("*").alias("n")), out)
+    return spark.read.schema("lang string, n long").parquet(out)
+
+
 # ---- ordered access and batches ------------------------------------------------------
 
 _INDEXED = (
@@ -956,6 +1010,14 @@ _INDEXED = (
 )
 
 
+@query(
+    f"with occ as ({EXTENDED_SQL}) select _id, "
+    + ", ".join(sql.q(f) for f in [*CORE_FIELDS, "depth", "habitat", "waterBody"]) + " from occ"
+)
+def unnested_struct(spark, sf_dir):
+    return batches.unnested(occurrences(spark, sf_dir))
+
+
 @query(f"with {_INDEXED} select idx, _id, species from ix")
 def row_index(spark, sf_dir):
     return batches.indexed_samples(occurrences(spark, sf_dir), fields=["species"]).select(

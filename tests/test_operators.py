@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftline.fields import CORE_FIELDS, CUMULATIVE_MARKS
 from driftline.functions.hashing import order_hash
 from driftline.operators import (
-    batches, equivalence, geography, ordering, profile, sampling, splits, vocabulary,
+    batches, equivalence, geography, ordering, pages, profile, sampling, splits, vocabulary,
 )
 
 
@@ -405,3 +405,14 @@ def test_null_test_on_split_does_not_hash(spark):
     df = splits.assign_by_record(_records(spark)).filter("split is not null").select("split")
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not any("sha2" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_notes_tell_no_capture_from_an_empty_one(spark):
+    urls = [f"https://www.protocols.io/{n}" for n in ("none", "null", "empty", "full")] + ["https://a.org/none"]
+    vocab = vocabulary.value_counts(spark.createDataFrame([(u,) for u in urls], "value string"))
+    captured = spark.createDataFrame(
+        [(1, urls[1], None), (2, urls[2], ""), (3, urls[3], "<p>text</p>")], "page_id long, url string, html string")
+    rows = pages.url_outcomes(pages.url_candidates(vocab), captured).collect()
+    notes = {r["unique_samplingProtocol_value"]: r["extraction_notes"] for r in rows}
+    read, download = "failed to read site content", "failed to download site content"
+    assert [notes[u] for u in urls] == [read, read, download, "", download]
