@@ -233,7 +233,7 @@ def test_compare_file_lists(spark, occurrence_files):
     # two numeric and four categorical raw fields of eleven exist, three pairs each
     tested = [r for r in rows if r["status"] == "tested"]
     assert len(rows) == 33 and len(tested) == 18 and all(r["passed"] for r in tested)
-    assert all(r["statistic"] == pytest.approx(0, abs=1e-12) for r in rows if r["test"] == "KS")
+    assert all(r["statistic"] == pytest.approx(0, abs=1e-12) for r in tested if r["test"] == "KS")
 
 
 def test_coverage_report_and_exports(spark, occurrence_files, tmp_path):
