@@ -3,8 +3,8 @@
 A mask fixes which words of a window count; the others are ignored, so a window hashes alike after
 a substitution at an ignored place. Windows of benchmark items are hashed under every mask, and the
 windows of documents meet them on equal hashes. Each hit fixes an alignment of a document and an
-item; the words of both are compared along it, substitutions included, and the longest stretch
-that agrees well enough is the overlap.
+item; the words of both are compared along it, substitutions included, and the best of the stretches
+that are long enough and agree well enough is the overlap.
 """
 
 import numpy as np
@@ -89,14 +89,21 @@ class Seeds:
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def best_stretch(same: np.ndarray, agreement: float) -> tuple[int, int, int]:
+def best_stretch(same: np.ndarray, agreement: float, least: int) -> tuple[int, int, int] | None:
     """Start, end and matches of the stretch with the highest sum, where a match is worth
-    ``1 - agreement`` and a mismatch costs ``agreement``; so it agrees at least that well."""
-    sums = offsets_of(np.where(same, 1, 0)) - agreement * np.arange(len(same) + 1)
+    ``1 - agreement`` and a mismatch costs ``agreement``, among those with ``least`` matches or more;
+    null if none of them agrees at least that well."""
+    matches = offsets_of(np.where(same, 1, 0))
+    sums = matches - agreement * np.arange(len(same) + 1)
     lowest = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lowest))
-    start = int(np.argmax(sums[:end + 1] == lowest[end]))
-    return start, end, int(same[start:end].sum())
+    # a stretch to an end has enough matches if it starts at this place or before
+    last = np.searchsorted(matches, matches - least, side="right") - 1
+    gain = np.where(last >= 0, sums - lowest[last], -np.inf)
+    end = int(np.argmax(gain))
+    if gain[end] < -1e-9:  # rounding of the sums
+        return None
+    start = int(np.argmax(sums == lowest[last[end]]))
+    return start, end, int(matches[end] - matches[start])
 
 
 def overlaps(words, bounds, seeds: Seeds, min_matched: int, agreement: float):
@@ -117,9 +124,10 @@ def overlaps(words, bounds, seeds: Seeds, min_matched: int, agreement: float):
         if high <= low:
             continue
         same = words[low:high] == own[low - first:high - first]
-        start, end, matched = best_stretch(same, agreement)
-        if matched < min(min_matched, len(own)):
+        stretch = best_stretch(same, agreement, min(min_matched, len(own)))
+        if stretch is None:
             continue
+        start, end, matched = stretch
         found = (matched, -(end - start), low - int(bounds[d]) + start, low - first + start)
         if (d, i) not in best or found[:2] > best[d, i][:2]:
             best[d, i] = found

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -141,6 +143,44 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(docs.limit(0), benchmark).count() == 0
 
 
+def _any_stretch(same, agreement, least):
+    """By brute force: whether a stretch has enough matches and agrees well enough."""
+    return any(
+        sum(same[a:b]) >= max(least, agreement * (b - a)) for a in range(len(same)) for b in range(a + 1, len(same) + 1)
+    )
+
+
+@given(st.lists(st.booleans(), min_size=1, max_size=30), st.integers(1, 12))
+@settings(max_examples=500, deadline=None)
+def test_best_stretch_against_brute_force(same, least):
+    found = decontamination.best_stretch(np.array(same), 0.75, least)
+    assert (found is not None) == _any_stretch(same, 0.75, least)
+    if found is not None:
+        start, end, matched = found
+        assert matched == sum(same[start:end]) >= max(least, 0.75 * (end - start))
+
+
+def test_short_items_with_substitutions():
+    """Copies of short items are found wherever two to four words of them are replaced, if enough agree."""
+    rng = random.Random(11)
+    memo = decontamination.word_hash_memo()
+    missed_by_one_stretch = 0
+    for size, replaced in ((15, 2), (16, 2), (18, 3), (20, 4)):
+        item = _passages(size, 1, size)[0]
+        seeds = decontamination.Seeds([size], [item])
+        around = _passages(size + 1, 2, 10)
+        spots = list(itertools.combinations(range(size), replaced))
+        for places in rng.sample(spots, min(300, len(spots))):
+            copy = " ".join("other" if k in places else w for k, w in enumerate(item.split()))
+            words = decontamination.word_hashes(f"{around[0]} {copy} {around[1]}", memo)
+            same = [k not in places for k in range(size)]
+            found = decontamination.overlaps(words, np.array([0, len(words)]), seeds, 10, 0.75)
+            assert len(found) == _any_stretch(same, 0.75, 10) == 1
+            assert found[0][5] >= max(10, 0.75 * found[0][4])
+            missed_by_one_stretch += decontamination.best_stretch(np.array(same), 0.75, 1)[2] < 10
+    assert missed_by_one_stretch > 100
+
+
 def test_top_k_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([0.0, 0.5, -1.25, 0.003]) for _ in range(rng.choice([4, 4, 6]))], "q") for i in range(600)]
