@@ -116,6 +116,24 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("changed", [0, 1, 3])
+def test_near_copies_keep_their_text(spark, changed):
+    """A third of a host's pages are near copies of one page: their text stays, the host's footer goes."""
+    rng = random.Random(5)
+    article = _passages(6, 12, 9)
+    rows = []
+    for i in range(200):
+        copy = [*article]
+        for k in rng.sample(range(12), changed):
+            copy[k] = f"{copy[k]} changed {i}"
+        rows.append((i, "\n".join([*copy, f"copy {i}", "Contact us"]), "h"))
+    rows += [(200 + i, "\n".join([*_passages(100 + i, 3, 9), "Contact us"]), "h") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs).collect()}
+    for i, text, _ in rows:
+        assert texts[i] == text.removesuffix("\nContact us")
+
+
 def _passages(seed, n, words=30):
     rng = random.Random(seed)
     return [" ".join(f"w{rng.randrange(5000)}" for _ in range(words)) for _ in range(n)]
