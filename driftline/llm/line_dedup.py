@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.staging import staged
 
-RATIO = 0.08
+RATIO = 0.01
 MIN_PAGES = 5
 #: A page is a near copy if more than this share of its characters is in lines that its host repeats.
 NEAR_COPY_SHARE = 2 / 3

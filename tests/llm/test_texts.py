@@ -116,6 +116,18 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_rare_lines_of_a_large_host(spark):
+    """Lines on 1 to 5 % of a host's pages are boilerplate; those on fewer are not."""
+    on = {"three words more": 20, "All rights reserved.": 24, "Home | About": 50, "License text": 100, "Only some": 12}
+    rows = [(i, "\n".join([f"own text of page {i} " * 5, *(line for line, n in on.items() if i * n % 2000 < n)]), "big")
+            for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.drop_boilerplate(docs).collect()
+    left = [sum(line in r.text.split("\n") for r in got) for line in on]
+    assert left == [20, 0, 0, 0, 12]
+    assert sum(r.n_removed for r in got) == 24 + 50 + 100
+
+
 @pytest.mark.parametrize("changed", [0, 1, 3])
 def test_near_copies_keep_their_text(spark, changed):
     """A third of a host's pages are near copies of one page: their text stays, the host's footer goes."""
