@@ -11,7 +11,8 @@ from driftline.staging import staged
 
 PROBE_SCHEMA = (
     "path string, file_name string, n_rows long, "
-    "fields array<struct<parent:string, name:string, type:string>>, error string, schema string"
+    "fields array<struct<parent:string, name:string, type:string>>, error string, schema string, "
+    "unread array<string>"
 )
 
 
@@ -141,7 +142,7 @@ def _probe_one(path: str, deep: bool) -> dict:
     import pyarrow.parquet as pq
 
     row = {"path": path, "file_name": path.rsplit("/", 1)[-1],
-           "n_rows": None, "fields": None, "error": None, "schema": None}
+           "n_rows": None, "fields": None, "error": None, "schema": None, "unread": None}
     try:
         filesystem, inner = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
         with filesystem.open_input_file(inner) as handle:
@@ -156,32 +157,58 @@ def _probe_one(path: str, deep: bool) -> dict:
             if deep:
                 for _ in parquet.iter_batches():
                     pass
-            row.update(
-                n_rows=parquet.metadata.num_rows, fields=fields, schema=_spark_schema(parquet.schema_arrow)
-            )
+            schema, unread = _spark_schema(parquet.schema_arrow)
+            row.update(n_rows=parquet.metadata.num_rows, fields=fields, schema=schema, unread=unread)
     except Exception as problem:  # any unreadable file becomes a row of the quarantine
         row["error"] = f"{type(problem).__name__}: {problem}"
     return row
 
 
-def _spark_schema(schema) -> str | None:
-    """Spark's schema of a file as JSON; columns of types that Spark lacks are left out."""
+def _spark_schema(schema) -> tuple[str, list[str]]:
+    """Spark's schema of a file as JSON, and the fields left out of it, as Spark lacks their types."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import from_arrow_schema
+    from pyspark.errors import PySparkTypeError
+    from pyspark.sql.pandas.types import from_arrow_type
 
-    fields = []
-    for field in schema:
+    # what Spark's Parquet reader makes of unsigned integers
+    unsigned = {
+        pa.uint8(): T.ShortType(), pa.uint16(): T.IntegerType(), pa.uint32(): T.LongType(),
+        pa.uint64(): T.DecimalType(20, 0),
+    }
+    unread = []
+
+    def kind(at, name):
+        """Spark's type; null if there is none, which is noted."""
+        if at in unsigned:
+            return unsigned[at]
+        if pa.types.is_struct(at):
+            inner = fields(at, f"{name}.")
+            return T.StructType(inner) if inner or not at.num_fields else None
+        if pa.types.is_list(at) or pa.types.is_large_list(at) or pa.types.is_fixed_size_list(at):
+            element = kind(at.value_type, f"{name}.element")
+            return None if element is None else T.ArrayType(element, at.value_field.nullable)
+        if pa.types.is_map(at):
+            key, value = kind(at.key_type, f"{name}.key"), kind(at.item_type, f"{name}.value")
+            return None if key is None or value is None else T.MapType(key, value, at.item_field.nullable)
+        if pa.types.is_dictionary(at):
+            return kind(at.value_type, name)
         try:
-            fields += from_arrow_schema(pa.schema([field])).fields
-        except Exception:  # noqa: BLE001, S112
-            continue
-    return T.StructType(fields).json()
+            return from_arrow_type(at)
+        except PySparkTypeError:
+            unread.append(f"{name}: {at}")
+            return None
+
+    def fields(children, prefix):
+        found = [(c, kind(c.type, f"{prefix}{c.name}")) for c in children]
+        return [T.StructField(c.name, t, c.nullable) for c, t in found if t is not None]
+
+    return T.StructType(fields(schema, "")).json(), unread
 
 
 def probe_files(manifest: DataFrame, deep: bool = False) -> DataFrame:
     """Schema and row count of each file from its footer, or the error of reading it.
 
-    Runs on the executors, one row per file. ``deep`` also reads every page, for files whose
+    ``unread`` names fields of types that Spark lacks; they are in no united schema. Runs on the executors, one row per file. ``deep`` also reads every page, for files whose
     footer is sound but whose data is not. The number of tasks is given, as the listing is far too
     small for Spark to spread it by itself.
     """
@@ -190,7 +217,7 @@ def probe_files(manifest: DataFrame, deep: bool = False) -> DataFrame:
     def probe(frames):
         for frame in frames:
             rows = [_probe_one(p, deep) for p in frame["path"]]
-            yield pd.DataFrame(rows, columns=["path", "file_name", "n_rows", "fields", "error", "schema"])
+            yield pd.DataFrame(rows, columns=["path", "file_name", "n_rows", "fields", "error", "schema", "unread"])
 
     return manifest.select("path").repartition(tasks, "path").mapInPandas(probe, PROBE_SCHEMA)
 

@@ -307,3 +307,19 @@ def test_jobs_keep_what_only_some_files_have(spark, tmp_path):
     write("d", 1, {"depth": pa.array(["deep"])})
     with pytest.raises(ValueError, match="interpreted.depth"):
         jobs.create_splits(spark, str(tmp_path / "in"), str(tmp_path / "other"))
+
+
+def test_unsigned_and_unknown_types(spark, tmp_path):
+    """A field of a type that pyspark's Arrow conversion lacks does not hide its neighbours."""
+    inner = pa.array([{"only_here": "x", "n": 200, "big": 2**63}],
+                     pa.struct([("only_here", pa.string()), ("n", pa.uint8()), ("big", pa.uint64())]))
+    table = pa.table({"interpreted": inner, "numbers": pa.array([[1, 2**32 - 1]], pa.list_(pa.uint32())),
+                      "small": pa.array([65535], pa.uint16())})
+    pq.write_table(table, tmp_path / "a.parquet")
+    pq.write_table(pa.table({"interpreted": pa.array([{"other": 1}]), "at": pa.array([1], pa.time32("ms"))}), tmp_path / "b.parquet")
+    row = files.read_occurrences(spark, str(tmp_path)).filter("small is not null").first()
+    assert (row.interpreted.only_here, row.interpreted.n, int(row.interpreted.big)) == ("x", 200, 2**63)
+    assert row.numbers == [1, 2**32 - 1] and row.small == 65535
+    probed = {r.file_name: r for r in files.probe_files(files.file_manifest(spark, str(tmp_path))).collect()}
+    assert probed["a.parquet"].unread == [] and probed["b.parquet"].unread == ["at: time32[ms]"]
+    assert probed["b.parquet"].error is None
