@@ -145,7 +145,7 @@ class _Words:
 
         ``possible`` marks the starts of phrases both of whose shorter phrases pass the filters.
         """
-        hashes = mix(self.words ^ self.salt)
+        hashes = mix(mix(self.salt) * _STEP + self.words)
         possible = np.ones(len(hashes), dtype=bool)
         for length in range(1, len(filters) + 2):
             if length > 1:
