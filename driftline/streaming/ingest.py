@@ -34,7 +34,7 @@ def ingest_field(
     query = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
         .option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch)
-        .load(folder).select("path")
+        .load(folder).select("path", F.col("_metadata.file_path").alias("uri"))
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()

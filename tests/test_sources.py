@@ -323,3 +323,102 @@ def test_unsigned_and_unknown_types(spark, tmp_path):
     probed = {r.file_name: r for r in files.probe_files(files.file_manifest(spark, str(tmp_path))).collect()}
     assert probed["a.parquet"].unread == [] and probed["b.parquet"].unread == ["at: time32[ms]"]
     assert probed["b.parquet"].error is None
+
+
+def test_schema_of_many_different_files(spark, tmp_path):
+    """200 files, no two alike: one row a field reaches the driver, and all rows are read."""
+    kinds = [pa.int8(), pa.int16(), pa.int32(), pa.int64()]
+    for k in range(200):
+        inner = pa.struct([("a", kinds[k % 4]), (f"only_{k}", pa.string()), ("none", pa.null())])
+        pq.write_table(pa.table({
+            "interpreted": pa.array([{"a": k % 100, f"only_{k}": "x", "none": None}], type=inner),
+            "tags": pa.array([[k % 100]], type=pa.list_(kinds[(k + 1) % 4])),
+            f"extra_{k % 7}": pa.array([{"k": k}], type=pa.map_(pa.string(), pa.float32() if k % 2 else pa.float64()))
+            if k % 7 == 0 else pa.array([k], pa.int64()),
+        }), tmp_path / f"f{k:03d}.parquet")
+    probed = files.probe_files(files.file_manifest(spark, str(tmp_path)))
+    nodes = files.schema_nodes(probed, ["interpreted", "tags"]).collect()
+    assert len(nodes) == 1 + 1 + 200 + 1 + 2  # interpreted, a, only_*, none, tags and its element
+    schema = files.united_schema(probed, ["interpreted", "tags", "extra_0"])
+    assert [f.name for f in schema] == ["interpreted", "tags", "extra_0"]
+    assert schema["tags"].dataType.simpleString() == "array<bigint>"
+    assert schema["extra_0"].dataType.simpleString() == "map<string,double>"
+    assert schema["interpreted"].dataType["a"].dataType.simpleString() == "bigint"
+    assert "none" not in schema["interpreted"].dataType.names and len(schema["interpreted"].dataType) == 201
+    df = files.read_occurrences(spark, str(tmp_path), columns=["interpreted", "extra_1"])
+    row = df.agg(F.count("*"), F.sum("interpreted.a"), F.count("interpreted.only_77"), F.count("extra_1")).first()
+    assert tuple(row) == (200, 2 * sum(range(100)), 1, 29)
+
+
+def test_clash_names_the_field(spark, drift):
+    probed = files.probe_files(files.file_manifest(spark, drift))
+    with pytest.raises(ValueError, match="source.x: files have it as double and as string"):
+        files.united_schema(probed)
+    assert files.united_schema(probed, ["samplingProtocol"]).names == ["samplingProtocol"]
+
+
+@pytest.mark.parametrize("per_slice", [2, 1000])
+def test_reads_in_slices(spark, drift, monkeypatch, per_slice):
+    """The same rows whether the paths come at once or two at a time."""
+    monkeypatch.setattr(files, "FILES_PER_SLICE", per_slice)
+    probed = files.probe_files(files.file_manifest(spark, drift))
+    df = files.read_harmonised(spark, probed, {"x": "double", "y": "string", "samplingProtocol": "string"}, root=True)
+    assert df.columns == ["file_name", "x", "y", "samplingProtocol"]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([
+        ("a.parquet", 1.5, "a", None), ("a.parquet", None, "b", None), ("b.parquet", None, "c", None),
+        ("c.parquet", None, "d", None), ("c.parquet", 12.5, None, None), ("d.parquet", None, None, "net"),
+        ("d.parquet", None, None, None),
+    ], key=str)
+    rows, bad = files.read_readable(spark, drift, columns=["samplingProtocol"])
+    assert rows.where("samplingProtocol is not null").count() == 1 and rows.count() == 7
+    assert [r.file_name for r in bad.collect()] == ["e.parquet"]
+
+
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    folder = tmp_path / "a b+c%20"
+    folder.mkdir()
+    pq.write_table(pa.table({"v": [1, 2]}), folder / "x y%.parquet")
+    probed = files.probe_files(files.file_manifest(spark, str(folder)), deep=True).collect()
+    assert [(r.file_name, r.n_rows, r.error) for r in probed] == [("x y%.parquet", 2, None)]
+
+
+def test_storage_options_reach_the_probe(spark, tmp_path):
+    pq.write_table(pa.table({"v": [1]}), tmp_path / "a.parquet")
+    (tmp_path / "sub").mkdir()
+    pq.write_table(pa.table({"v": [1]}), tmp_path / "sub" / "b.parquet")
+
+    def errors():
+        found = files.probe_files(files.file_manifest(spark, str(tmp_path), recursive=True)).collect()
+        return {r.file_name: r.error for r in found}
+
+    files.storage_options(spark, f"file://{tmp_path}", use_mmap=True)
+    assert errors() == {"a.parquet": None, "b.parquet": None}
+    files.storage_options(spark, f"file://{tmp_path}/sub", no_such_option=1)
+    found = errors()
+    assert found["a.parquet"] is None and "no_such_option" in found["b.parquet"]
+    files.anonymous_bucket(spark, "a-public-bucket")
+    assert files._all_storage_options(spark)["s3a://a-public-bucket"] == {"anonymous": True}
+
+
+def test_deep_probe_by_file_and_split(spark, tmp_path):
+    """Clashing files are no bad files; a large file with one bad page is, and is read in many tasks."""
+    rows = 40_000
+    pq.write_table(pa.table({"v": pa.array(range(rows))}), tmp_path / "long.parquet", row_group_size=4000)
+    pq.write_table(pa.table({"v": ["x"] * 5, "m": pa.array([[("k", 1)]] * 5, pa.map_(pa.string(), pa.int32()))}), tmp_path / "text.parquet")
+    pq.write_table(pa.table({"v": pa.array([], pa.int64())}), tmp_path / "none.parquet")
+    path = tmp_path / "broken.parquet"
+    pq.write_table(pa.table({"v": [f"value {i}" * 9 for i in range(rows)]}), path, use_dictionary=False, row_group_size=4000)
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) // 2:len(raw) // 2 + 3000] = os.urandom(3000)
+    path.write_bytes(raw)
+    (tmp_path / "noise.parquet").write_bytes(os.urandom(300))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        probed = files.probe_files(files.file_manifest(spark, str(tmp_path)), deep=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    errors = {r.file_name: r.error for r in probed}
+    assert {n for n, e in errors.items() if e is None} == {"long.parquet", "text.parquet", "none.parquet"}
+    assert errors["broken.parquet"].endswith(f"of {rows} rows can be read")
+    assert 0 < int(errors["broken.parquet"].split()[0]) < rows
