@@ -839,6 +839,83 @@ def schema_drift_union(spark, sf_dir):
     )
 
 
+def _drifting_events(spark, sf_dir, shapes) -> str:
+    """A folder with the events dealt to as many files or more as there are shapes, each a list of columns."""
+    out = scratch_path(spark, "drifting-events")
+    events = table(spark, sf_dir, "events")
+    for k, shape in enumerate(shapes):
+        part = events.where(F.col("event_id") % len(shapes) == k)
+        part.selectExpr(*shape).write.parquet(f"{out}/shape_{k}")
+    return out
+
+
+_CLASHING = [
+    ["struct(value, event_type, user_id) as source"],
+    ["struct(if(event_id % 5 = 0, 'n/a', cast(value as string)) as value, event_type) as source"],
+    ["struct(event_type, user_id) as source", "value"],
+    ["struct(if(user_id % 2 = 0, value, null) as value, event_type) as source", "value * 2 as value"],
+]
+
+
+@query(
+    "with e as (select event_type, case event_id % 4 when 1 then case when event_id % 5 <> 0 then value end "
+    "when 3 then case when user_id % 2 = 0 then value end else value end as v, "
+    "case when event_id % 2 = 0 then user_id end as u from events) "
+    "select event_type, count(*) as n_rows, count(v) as n_value, round(sum(v), 2) as sum_value, count(u) as n_users, "
+    "sum(u)::bigint as sum_users from e group by 1"
+)
+def drift_clash_union(spark, sf_dir):
+    """Files with a field as number, as text, at the top level, and in both places, read as one table."""
+    folder = _drifting_events(spark, sf_dir, _CLASHING)
+    probed = files.probe_files(files.file_manifest(spark, folder, recursive=True))
+    rows = files.read_harmonised(
+        spark, probed, {"value": "double", "event_type": "string", "user_id": "long"}, root=True
+    )
+    return rows.groupBy("event_type").agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n_value"), F.round(F.sum("value"), 2).alias("sum_value"),
+        F.count("user_id").alias("n_users"), F.sum("user_id").alias("sum_users"),
+    )
+
+
+_WIDENING = [
+    ["struct(cast(user_id % 100 as tinyint) as n, value as a) as interpreted"],
+    ["struct(cast(user_id % 100 as smallint) as n, cast(value as float) as x, event_type as b) as interpreted", "event_id"],
+    ["struct(cast(user_id % 100 as int) as n, cast(value as double) as x) as interpreted", "array(event_type) as tags"],
+    ["struct(cast(user_id % 100 as bigint) as n, event_type as b) as interpreted", "cast(event_id as string) as other"],
+]
+
+
+@query(
+    "select count(*) as n_rows, sum(user_id % 100)::bigint as sum_n, count(*) filter (where event_id % 4 = 0 and value is not null) as n_a, "
+    "count(*) filter (where event_id % 2 = 1 and event_type is not null) as n_b, "
+    "count(*) filter (where event_id % 4 in (1, 2) and value is not null) as n_x, "
+    "count(*) filter (where event_id % 4 = 2) as n_tags, sum(event_id) filter (where event_id % 4 = 1)::bigint as sum_ids from events"
+)
+def united_read(spark, sf_dir):
+    """Files whose numbers differ in width and whose fields differ, read with the schema that unites them."""
+    folder = _drifting_events(spark, sf_dir, _WIDENING)
+    rows = files.read_occurrences(spark, folder, recursive=True, columns=["interpreted", "tags", "event_id"])
+    return rows.agg(
+        F.count("*").alias("n_rows"), F.sum("interpreted.n").alias("sum_n"), F.count("interpreted.a").alias("n_a"),
+        F.count("interpreted.b").alias("n_b"), F.count("interpreted.x").alias("n_x"), F.count("tags").alias("n_tags"),
+        F.sum("event_id").alias("sum_ids"),
+    )
+
+
+@query("select true as readable, count(*) as n_rows, count(*) filter (where event_id % 4 = 3) as n_last from events "
+       "union all select false, 0, 0")
+def quarantine_mixed(spark, sf_dir):
+    """Clashing files and one that is no Parquet file: all pages read, the bad one set aside, the others kept."""
+    folder = _drifting_events(spark, sf_dir, _CLASHING)
+    table(spark, sf_dir, "region").select("r_name").coalesce(1).write.text(f"{folder}/not_parquet")
+    probed = staged(files.probe_files(files.file_manifest(spark, folder, True, "part-*"), deep=True), "probe")
+    last = F.col("path").contains("shape_3") & F.col("error").isNull()
+    return probed.groupBy(F.col("error").isNull().alias("readable")).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(last, F.col("n_rows"))), F.lit(0)).alias("n_last"),
+    )
+
+
 @query(
     "select 'documents.parquet' as file_name, source, count(*) as n from documents group by all"
 )
