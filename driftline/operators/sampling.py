@@ -9,9 +9,15 @@ from driftline.staging import staged
 
 SAMPLE_ROWS = 50_000
 SEED = 42
-# Leading hex digits that form the histogram: 16**4 cells per split.
-_CELL_DIGITS = 4
 _SLICES = 64
+#: A bound lets through this many standard deviations more rows than wanted; a short split gets _WIDER times that.
+_SPARE, _WIDER = 6, 16
+
+
+def _bound(n: int, rows: int, spare: int) -> str:
+    """Leading hex digits below which about ``n`` of ``rows`` uniform hashes lie, and ``spare`` deviations more."""
+    wanted = n + spare * (n**0.5 + 1)
+    return f"{int(wanted / rows * 2**64):016x}" if wanted < rows else "g"
 
 
 def sample_per_split(
@@ -19,37 +25,37 @@ def sample_per_split(
 ) -> DataFrame:
     """Exactly min(n, rows) rows of every split: those first in the order of a seeded hash.
 
-    A first pass counts rows per leading hash digits (at most 65,536 counters a split) and finds
-    the cell in which the n-th row lies. Only rows up to that cell are ranked, so the windows see
-    about n rows however large the split is. Copies of one id share a hash and may exceed that;
-    the ranking is therefore done per slice of rows first and across slices second.
+    The sizes of the splits bound the hashes that can be among the first n. One pass hashes every row
+    and writes those below the bound, a few more than n, which are then ranked. Where copies of one id
+    leave a split short, its bound is widened and only then is that split hashed again. Copies share a
+    hash and may be many more than n, so ranks are taken per slice of rows first and across slices second.
     """
+    known = df.where(F.col(split).isNotNull())
+    # One row per split.
+    sizes = {r[split]: r["n"] for r in known.groupBy(split).agg(F.count("*").alias("n")).collect()}
     # The slice is in the same projection as the hash: it is not deterministic, so the filter below
     # is not copied into the hash expressions underneath, and each is computed once per row.
-    keyed = df.select(
+    keyed = known.select(
         "*", order_hash(seed, F.col(key)).alias("_hash"),
         (F.spark_partition_id() % _SLICES).alias("_slice"),
     )
-    cell = F.substring("_hash", 1, _CELL_DIGITS)
-    cells = keyed.groupBy(split, cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    before = (
-        Window.partitionBy(split).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    last = (
-        cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_before") < n)
-        .groupBy(split)
-        .agg(F.max("_cell").alias("_last"))
-    )
-    # {split label: last cell}, one small map; rows without a split find no entry and drop out.
-    entry = F.when(F.col(split).isNotNull(), F.struct(split, "_last"))
-    bounds = last.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-    near = keyed.filter(cell <= F.try_element_at(bounds, F.col(split)))
+    parts, open_splits, spare = [], dict(sizes), _SPARE
+    while open_splits:
+        bound = F.lit(None).cast("string")
+        for name, rows in open_splits.items():
+            bound = F.when(F.col(split) == name, _bound(n, rows, spare)).otherwise(bound)
+        near = staged(keyed.where(F.col("_hash") < bound), "near-sample")
+        found = {r[split]: r["n"] for r in near.groupBy(split).agg(F.count("*").alias("n")).collect()}
+        short = {s: rows for s, rows in open_splits.items() if found.get(s, 0) < min(n, rows)}
+        parts.append(near.where(~F.col(split).isin(list(short))) if short else near)
+        open_splits, spare = short, spare * _WIDER
+    if not parts:
+        return df.limit(0)
     order = [F.col("_hash"), F.col(key)]
     by_slice = F.row_number().over(Window.partitionBy(split, "_slice").orderBy(*order))
     overall = F.row_number().over(Window.partitionBy(split).orderBy(*order))
     return (
-        near.withColumn("_rn", by_slice).filter(F.col("_rn") <= n)
+        reduce(DataFrame.unionByName, parts).withColumn("_rn", by_slice).filter(F.col("_rn") <= n)
         .withColumn("_rn", overall).filter(F.col("_rn") <= n)
         .select(*df.columns)
     )
@@ -57,7 +63,7 @@ def sample_per_split(
 
 def staged_sample(df: DataFrame, columns: list, n: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
     """Sample with the wanted columns only, written once for the several tests that read it."""
-    return staged(sample_per_split(df, n, seed).select("split", *columns), "sample")
+    return staged(sample_per_split(df.select("split", *columns), n, seed), "sample")
 
 
 def distinct_union(*samples: DataFrame) -> DataFrame:

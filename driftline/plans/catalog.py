@@ -14,7 +14,7 @@ from driftline.functions.text import file_stem
 from driftline.operators import (
     batches, equivalence, geography, pages, profile, sampling, splits, vocabulary,
 )
-from driftline.plans import oracle as sql
+from driftline.plans import jobs, oracle as sql
 from driftline.sources import files, sinks
 from driftline.sources.given_tables import (
     EXTENDED_SQL, OCCURRENCE_SQL, TABLES, interpreted_fields, occurrences, table,
@@ -228,7 +228,7 @@ _NUMERIC_OUT = ["split", "field", "n_valid", "mean", "std", "median", "min", "ma
 def _numeric_profile(spark, sf_dir, by) -> DataFrame:
     """On all rows, with an exact median that no task has to hold."""
     df = flat_splits(spark, sf_dir, by, NUMERIC_FIELDS, keep_missing=True)
-    stats = profile.numeric_summary(df).join(profile.exact_medians(df), ["split", "field"])
+    stats = profile.numeric_profile(df)
     return rounded(rounded(stats, 4, "mean", "std"), 6, "median", "min", "max").select(_NUMERIC_OUT)
 
 
@@ -980,6 +980,59 @@ def incremental_ingest(spark, sf_dir):
     )
 
 
+# ---- whole jobs -----------------------------------------------------------------
+
+def _occurrence_folder(spark, sf_dir) -> str:
+    """The records as a folder of files, as the jobs take them."""
+    out = scratch_path(spark, "occurrence-files")
+    occurrences(spark, sf_dir).write.parquet(out)
+    return out
+
+
+@query(sql.sizes(sql.with_splits("record")))
+def job_create_splits(spark, sf_dir):
+    """Files to split folders, then the sizes of what was written."""
+    out = scratch_path(spark, "job-splits")
+    jobs.create_splits(spark, _occurrence_folder(spark, sf_dir), out, by_record=True)
+    return rounded(splits.split_sizes(spark.read.parquet(out)), 6, "pct")
+
+
+@query(
+    f"with {_COVERAGE} select category, count(*) as n_fields, "
+    "sum(records_with_data)::bigint as cells_with_data, max(total_records) as total_records, "
+    "round(sum(records_with_data) * 100.0 / (max(total_records) * count(*)), 6) as avg_coverage_pct "
+    "from cov group by category"
+)
+def job_coverage_report(spark, sf_dir):
+    """Drifting files to coverage by category; the terms' coverage is written as CSV on the way."""
+    report = jobs.coverage_report(spark, _occurrence_folder(spark, sf_dir), scratch_path(spark, "job-coverage"))
+    return rounded(report, 6, "avg_coverage_pct")
+
+
+@query(
+    f"with occ as ({EXTENDED_SQL}), f as (select round(decimalLongitude, 5) as lon, round(decimalLatitude, 5) as lat, "
+    "scientificName as species, round(depth, 1) as depth, phylum, habitat from occ "
+    "where decimalLatitude is not null and decimalLongitude is not null) "
+    "select phylum, count(*) as n, round(sum(lon), 3) as sum_lon, round(sum(lat), 3) as sum_lat, count(species) as n_species, "
+    "round(sum(depth), 1) as sum_depth, count(habitat) as n_habitat, count(*) as n_points from f group by phylum"
+)
+def job_export_geojson(spark, sf_dir):
+    """Files to GeoJSON lines, read back as JSON; ``n_points`` counts the lines that are points."""
+    out = scratch_path(spark, "job-geojson")
+    jobs.export_geojson(spark, _occurrence_folder(spark, sf_dir), out)
+    line = spark.read.text(out).select(F.from_json("value", (
+        "type string, geometry struct<type: string, coordinates: array<double>>, "
+        "properties struct<species: string, depth: double, phylum: string, habitat: string>"
+    )).alias("f"))
+    return line.groupBy(F.col("f.properties.phylum").alias("phylum")).agg(
+        F.count("*").alias("n"), F.round(F.sum(F.col("f.geometry.coordinates")[0]), 3).alias("sum_lon"),
+        F.round(F.sum(F.col("f.geometry.coordinates")[1]), 3).alias("sum_lat"),
+        F.count("f.properties.species").alias("n_species"), F.round(F.sum("f.properties.depth"), 1).alias("sum_depth"),
+        F.count("f.properties.habitat").alias("n_habitat"),
+        F.count_if((F.col("f.type") == "Feature") & (F.col("f.geometry.type") == "Point")).alias("n_points"),
+    )
+
+
 @query(sql.sizes(sql.with_splits("record")))
 def sink_splits(spark, sf_dir):
     """Splits written as folders and read back; sizes from what was written."""

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import ChiSquareTest
@@ -107,6 +108,17 @@ def test_sample_of_copies(spark):
         assert got.filter("split is null").count() == 0
 
 
+def test_sample_hashes_once(spark):
+    """Only a split that copies leave short is widened; the rows are those first in the order of the hash."""
+    bound = int(sampling._bound(1000, 10**6, sampling._SPARE), 16) / 2**64
+    assert 0.001 < bound < 0.0013 and sampling._bound(10, 10, 6) == "g" and sampling._bound(999, 1000, 6) == "g"
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("_id"), F.lit("train").alias("split"))
+    got = {r["_id"] for r in sampling.sample_per_split(df, 500).collect()}
+    first = df.orderBy(order_hash(42, F.col("_id"))).limit(500).collect()
+    assert got == {r["_id"] for r in first}
+    assert sampling.sample_per_split(df.limit(0), 5).count() == 0
+
+
 # ---- profiles -------------------------------------------------------------------
 
 def test_coverage_counts_unicode_blanks(spark):
@@ -150,6 +162,30 @@ def test_exact_medians(spark):
             assert got[(s, f)] == pytest.approx(np.median(values))
 
 
+def test_profile_of_large_and_odd_fields(spark):
+    """Medians within the sketch's bracket, also of copies, infinities and one or two values."""
+    rng = np.random.default_rng(8)
+    n = 60_000
+    data = {
+        "x": rng.normal(size=n), "ties": np.where(rng.random(n) < 0.7, 3.0, rng.normal(size=n)),
+        "ends": np.where(rng.random(n) < 0.5, -np.inf, np.inf), "few": np.where(np.arange(n) < 2, np.arange(n), np.nan),
+    }
+    df = spark.createDataFrame(pd.DataFrame({"split": "a"} | data))
+    got = {r["field"]: r for r in profile.numeric_profile(df, list(data)).collect()}
+    for f in ("x", "ties"):
+        assert got[f]["median"] == np.median(data[f]) and got[f]["n_valid"] == n
+    assert got["few"]["median"] == 0.5 and got["few"]["n_nan"] == n - 2
+    assert got["ends"]["median"] in (-np.inf, np.inf) or np.isnan(got["ends"]["median"])
+    none = profile.numeric_profile(df.selectExpr("split", "cast(null as double) as x"), ["x"]).first()
+    assert none["median"] is None and none["n_valid"] == 0
+
+
+def test_categories_of_an_empty_field(spark):
+    df = spark.createDataFrame([("a", None, "v"), ("b", "w", None), ("a", None, None)], "split string, c string, d string")
+    rows = {(r["split"], r["field"]): (r["n_valid"], r["n_unique"], r["top_values"]) for r in profile.categorical_profile(df, ["c", "d"]).collect()}
+    assert rows == {("a", "c"): (0, 0, ""), ("a", "d"): (1, 1, "v (100.0%)"), ("b", "c"): (1, 1, "w (100.0%)"), ("b", "d"): (0, 0, "")}
+
+
 def test_categorical_ties_by_value(spark):
     data = [("a", v) for v in ["q", "q", "p", "p", "z", None]]
     df = spark.createDataFrame(data, "split string, c string")
