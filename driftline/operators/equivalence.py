@@ -1,18 +1,22 @@
 """Do two splits share a distribution? Kolmogorov-Smirnov and chi-squared, all pairs at once."""
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.fields import CATEGORICAL_FIELDS, NUMERIC_FIELDS, SPLITS
 from driftline.functions.pvalues import chi2_tail, exact_ks_tail, kolmogorov_tail
-from driftline.operators.ordering import top_per_group, with_running_sums
+from driftline.operators.ordering import top_per_group
 from driftline.staging import staged
 
 MIN_VALUES = 20
 MAX_CATEGORIES = 50
 KS_P_PASS = 0.05
 CRAMERS_V_PASS = 0.1
+#: Cells that a part of a feature's range is counted in; rows that are counted value by value at the end;
+#: passes after which that is done in any case (twelve bits of a double a pass, so all of them).
+CELLS, FEW_ROWS, MAX_PASSES = 4096, 2_000_000, 6
 
 
 def split_pairs(names=SPLITS) -> list[tuple[str, str]]:
@@ -44,31 +48,104 @@ def _every_test(df: DataFrame, fields, names) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, split_a string, split_b string")
 
 
+def _gap(a: str, b: str, end_a: str, end_b: str) -> Column:
+    """Distance of two step functions, from running counts of both."""
+    return F.abs(F.try_divide(F.col(f"{end_a}_{a}"), F.col(f"total_{a}")) - F.try_divide(F.col(f"{end_b}_{b}"), F.col(f"total_{b}")))
+
+
+def _cell(value: Column) -> Column:
+    """Number of the equal part of [lo, hi] that a value lies in, from 1 on; infinities have cells of their own.
+
+    The number never falls as the value grows. Halves are taken where the largest doubles' difference is infinite.
+    """
+    lo, hi, inf = F.col("lo"), F.col("hi"), float("inf")
+    share = F.when(hi - lo < inf, F.try_divide(value - lo, hi - lo)).otherwise(F.try_divide(value / 2 - lo / 2, hi / 2 - lo / 2))
+    inside = F.when(hi > lo, F.least(F.floor(share * CELLS), F.lit(CELLS - 1)) + 1).otherwise(1)
+    return F.when(value == -inf, 0).when(value == inf, CELLS + 1).otherwise(inside).cast("int")
+
+
+def _largest_gaps(long: DataFrame, names) -> DataFrame:
+    """(feature, total per split, largest gap per pair) of rows (split, feature, value), by branch and bound.
+
+    The values of a part of a feature's range are counted per split and cell. The gap at a cell's end is
+    exact; inside, it is at most what the counts allow. Only cells that may hold a larger gap than the best
+    one known are opened, and become the parts of the next pass, until none is left or those that are left
+    hold few rows, whose values are then counted apart. Counters are shuffled, and few values.
+    """
+    pairs = split_pairs(names)
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    totals = staged(long.groupBy("feature").agg(
+        F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+        *(F.count_if(F.col("split") == s).alias(f"total_{s}") for s in names),
+    ), "ks-totals")
+    parts = totals.select(
+        "feature", F.lit(0).cast("long").alias("part"), "lo", "hi", *(F.lit(0).cast("long").alias(f"from_{s}") for s in names),
+    )
+    rows = long.withColumn("part", F.lit(0).cast("long"))
+    best = None
+    left = totals.agg(F.sum(sum(F.col(f"total_{s}") for s in names))).first()[0] or 0
+    for _ in range(MAX_PASSES):
+        if left <= FEW_ROWS:
+            break
+        rows = rows.join(parts.select("feature", "part", "lo", "hi"), ["feature", "part"]).select(
+            "split", "feature", "value", "part", _cell(F.col("value")).alias("cell")
+        )
+        counted = rows.groupBy("feature", "part", "cell").agg(
+            F.min("value").alias("lo"), F.max("value").alias("hi"),
+            *(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in names),
+        )
+        # a part has at most CELLS cells
+        up = Window.partitionBy("feature", "part").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = staged(
+            counted.join(parts.drop("lo", "hi"), ["feature", "part"])
+            .withColumns({f"end_{s}": F.col(f"from_{s}") + F.sum(f"n_{s}").over(up) for s in names})
+            .withColumns({f"begin_{s}": F.col(f"end_{s}") - F.col(f"n_{s}") for s in names})
+            .join(F.broadcast(totals.drop("lo", "hi")), "feature"),  # one row per feature
+            "ks-cells",
+        )
+        at_ends = cells.groupBy("feature").agg(*(F.max(_gap(a, b, "end", "end")).alias(f"d_{a}_{b}") for a, b in pairs))
+        best = at_ends if best is None else best.unionByName(at_ends)
+        best = staged(best.groupBy("feature").agg(*(F.max(f"d_{a}_{b}").alias(f"d_{a}_{b}") for a, b in pairs)), "ks-best")
+        larger = reduce(lambda x, y: x | y, (
+            F.greatest(_gap(a, b, "end", "begin"), _gap(a, b, "begin", "end")) > F.col(f"d_{a}_{b}") for a, b in pairs
+        ))
+        opened = staged(
+            cells.where("hi > lo").join(F.broadcast(best), "feature").where(larger)
+            .withColumn("part_", F.row_number().over(Window.partitionBy("feature").orderBy("part", "cell")).cast("long")),
+            "ks-opened",
+        )
+        left = opened.agg(F.sum(sum(F.col(f"n_{s}") for s in names))).first()[0] or 0
+        rows = rows.join(opened.select("feature", "part", "cell", "part_"), ["feature", "part", "cell"]).select(
+            "split", "feature", "value", F.col("part_").alias("part")
+        )
+        parts = opened.select(
+            "feature", F.col("part_").alias("part"), "lo", "hi", *(F.col(f"begin_{s}").alias(f"from_{s}") for s in names)
+        )
+    if left or best is None:
+        values = rows.groupBy("feature", "part", "value").agg(*(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in names))
+        up = Window.partitionBy("feature", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        steps = values.join(parts, ["feature", "part"]).withColumns(
+            {f"end_{s}": F.col(f"from_{s}") + F.sum(f"n_{s}").over(up) for s in names}
+        ).join(F.broadcast(totals.drop("lo", "hi")), "feature")
+        at_steps = steps.groupBy("feature").agg(*(F.max(_gap(a, b, "end", "end")).alias(f"d_{a}_{b}") for a, b in pairs))
+        best = at_steps if best is None else best.unionByName(at_steps).groupBy("feature").agg(*(F.max(f"d_{a}_{b}").alias(f"d_{a}_{b}") for a, b in pairs))
+    return totals.drop("lo", "hi").join(best, "feature")
+
+
 def ks_matrix(
     df: DataFrame, fields: list[str] = NUMERIC_FIELDS, names=SPLITS, min_values: int = MIN_VALUES,
 ) -> DataFrame:
     """Two-sample KS per feature and pair: the largest gap between two step functions.
 
-    One running sum per split over the merged values serves all pairs, because a third split's
-    values are places where the other two do not step. Each feature is spread over many tasks. The
+    Gaps are found by ``_largest_gaps``, for all features and pairs at once and on any number of rows. The
     p-value comes from the series for all sizes; ``with_exact_ks_pvalue`` replaces it. A pair with
     fewer than ``min_values`` values on a side has status ``skipped`` and no result.
     """
-    numbers = df.select("split", *(F.col(f"`{f}`").cast("double").alias(f) for f in fields))
-    counts = counts_by_split(numbers, fields, names).filter(~F.isnan("value"))
-    steps = with_running_sums(counts, [F.col("value")], {f"cum_{s}": f"n_{s}" for s in names}, ("feature",))
-    # One row per feature, taken from the staged steps.
-    steps = steps.join(F.broadcast(_totals(steps, names)), "feature")
-
-    def gap(a, b):
-        f = F.try_divide(F.col(f"cum_{a}"), F.col(f"total_{a}"))
-        g = F.try_divide(F.col(f"cum_{b}"), F.col(f"total_{b}"))
-        return F.max(F.abs(f - g))
-
+    # read in every pass
+    numbers = staged(df.select("split", *(F.col(f"`{f}`").cast("double").alias(f) for f in fields)), "ks-numbers")
+    long = numbers.unpivot(["split"], [f"`{f}`" for f in fields], "feature", "value")
+    wide = _largest_gaps(long.where(F.col("split").isin(list(names)) & ~F.isnan("value") & F.col("value").isNotNull()), names)
     pairs = split_pairs(names)
-    wide = steps.groupBy("feature", *(f"total_{s}" for s in names)).agg(
-        *(gap(a, b).alias(f"d_{a}_{b}") for a, b in pairs)
-    )
     rows = F.array(*(
         F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"),
                  F.col(f"total_{a}").alias("n_a"), F.col(f"total_{b}").alias("n_b"),

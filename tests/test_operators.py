@@ -264,6 +264,31 @@ def test_ks_matches_numpy(spark):
     assert r["passed"] == (r["p_value"] > 0.05)
 
 
+@pytest.mark.parametrize("few", [0, 50, 10**9])
+def test_ks_by_cells_matches_numpy(spark, monkeypatch, few):
+    """Outliers, ties, infinities and denormal numbers, with cells opened again and again or not at all."""
+    monkeypatch.setattr(equivalence, "FEW_ROWS", few)
+    monkeypatch.setattr(equivalence, "CELLS", 16)
+    rng = np.random.default_rng(9)
+
+    def of(shift, n):
+        return {
+            "far": np.append(rng.normal(shift, 1, n), [1e300, -1e300, 1.7e308, -1.7e308]),
+            "ties": np.append(rng.integers(0, 5, n) + shift, [0, 0, 0, 0]),
+            "ends": np.append(np.where(rng.random(n) < 0.2 + shift, -np.inf, rng.normal(size=n)), [np.inf] * 4),
+            "tiny": np.append(rng.integers(0, 50, n) * 5e-324, [0.0, -0.0, 5e-324, 1.0]),
+            "same": np.full(n + 4, 7.0),
+        }
+
+    data = {"train": of(0.0, 700), "dev": of(0.1, 300), "test": of(0.05, 100)}
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"split": s} | d) for s, d in data.items()]))
+    fields = list(data["train"])
+    got = {(r["feature"], r["split_a"], r["split_b"]): r["statistic"] for r in equivalence.ks_matrix(df, fields).collect()}
+    assert len(got) == 15
+    for (f, a, b), d in got.items():
+        assert d == pytest.approx(_ks(data[a][f], data[b][f]), abs=1e-12), (f, a, b)
+
+
 def test_ks_same_sample_is_zero(spark):
     df = spark.range(100).selectExpr("cast(id as double) as x").selectExpr(
         "explode(array('train', 'dev', 'test')) as split", "x")
