@@ -84,12 +84,24 @@ def _sizes(surveys: DataFrame, dataset_id: str) -> DataFrame:
     )
 
 
-def leaking_datasets(df: DataFrame, dataset_id: str = "dataset_id") -> DataFrame:
+def leaking_datasets(df: DataFrame, dataset_id: str = "dataset_id", split: str = "split") -> DataFrame:
     """Surveys with rows in more than one split. One bit per split, or-ed up: one shuffle."""
-    bit = F.coalesce(*(F.when(F.col("split") == name, 1 << i) for i, name in enumerate(SPLITS)))
-    seen = df.groupBy(dataset_id).agg(
-        F.bit_or(bit).alias("_seen"), F.count("split").alias("n_rows")
-    )
-    return seen.select(
-        dataset_id, F.bit_count("_seen").cast("int").alias("n_splits"), "n_rows"
+    return leakage_audit(df, {split: split}, dataset_id).drop("level")
+
+
+def leakage_audit(df: DataFrame, levels: dict[str, str], dataset_id: str = "dataset_id") -> DataFrame:
+    """Rows (level, survey, n_splits, n_rows): surveys that a split column spreads, for several at once.
+
+    ``levels`` names the split columns by level. All are audited in one pass and one shuffle.
+    """
+    def bit(split):
+        return F.coalesce(*(F.when(F.col(split) == name, 1 << i) for i, name in enumerate(SPLITS)))
+
+    seen = df.groupBy(dataset_id).agg(*(
+        F.struct(F.lit(level).alias("level"), F.bit_or(bit(split)).alias("seen"), F.count(split).alias("n_rows")).alias(f"_{i}")
+        for i, (level, split) in enumerate(levels.items())
+    ))
+    rows = seen.select(dataset_id, F.explode(F.array(*(f"_{i}" for i in range(len(levels))))).alias("a"))
+    return rows.select(
+        "a.level", dataset_id, F.bit_count("a.seen").cast("int").alias("n_splits"), "a.n_rows"
     ).filter(F.col("n_splits") > 1)

@@ -111,11 +111,9 @@ def split_assignments(spark, sf_dir):
     "group by dataset_id having count(distinct split_ds) > 1"
 )
 def split_leakage_audit(spark, sf_dir):
-    audits = [
-        splits.leaking_datasets(split_occ(spark, sf_dir, by)).select(F.lit(by).alias("level"), "*")
-        for by in ("record", "dataset")
-    ]
-    return audits[0].unionByName(audits[1])
+    rows = split_occ(spark, sf_dir, "record").select("dataset_id", "split")
+    both = rows.withColumn("by_survey", split_of_bucket(dataset_bucket(F.col("dataset_id"))))
+    return splits.leakage_audit(both, {"record": "split", "dataset": "by_survey"})
 
 
 @query(
@@ -1066,8 +1064,9 @@ def sink_csv(spark, sf_dir):
 def sink_value_shards(spark, sf_dir):
     """``value, source`` rows as ten CSV shards, read back."""
     out = scratch_path(spark, "shards")
+    surveys = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("ds-"), "l_suppkey", F.lit(".parquet")).alias("source")).distinct()
     sinks.write_value_shards(
-        sinks.with_shard(protocols(spark, sf_dir)), out, null_marker="\\N"
+        sinks.with_shard(protocols(spark, sf_dir), manifest=surveys), out, null_marker="\\N"
     )
     shard = F.regexp_extract(F.col("_metadata.file_path"), r"shard=(\d+)", 1).cast("int")
     rows = files.read_value_shards(spark, f"{out}/*", null_marker="\\N").withColumn("shard", shard)

@@ -170,10 +170,15 @@ def file_dataset_id() -> Column:
     return file_stem(F.col("_metadata.file_name"))
 
 
-def read_value_shards(spark: SparkSession, paths, null_marker: str = "") -> DataFrame:
-    """CSV shards ``value, source`` as one table; words such as NA stay text."""
+def read_value_shards(
+    spark: SparkSession, paths, null_marker: str = "", multi_line: bool = False
+) -> DataFrame:
+    """CSV shards ``value, source`` as one table; words such as NA stay text.
+
+    Values that hold line ends need ``multi_line``; then a file is one task, else a large file is many.
+    """
     return (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+        spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
         .option("nullValue", null_marker)
         .schema("value string, source string").csv(paths)
     )

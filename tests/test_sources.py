@@ -145,10 +145,10 @@ def test_csv_round_trip(spark, tmp_path):
     values = ["plain", " spaced ", 'quo"te', "com,ma", "line\nbreak", "", None, "NA", "NaN"]
     df = spark.createDataFrame([(v, "f") for v in values], "value string, source string")
     sinks.write_csv(df, str(tmp_path / "marked"), null_marker="\\N")
-    back = files.read_value_shards(spark, str(tmp_path / "marked"), null_marker="\\N")
+    back = files.read_value_shards(spark, str(tmp_path / "marked"), null_marker="\\N", multi_line=True)
     assert sorted((r[0] for r in back.collect()), key=str) == sorted(values, key=str)
     sinks.write_csv(df, str(tmp_path / "plain"))
-    back = [r[0] for r in files.read_value_shards(spark, str(tmp_path / "plain")).collect()]
+    back = [r[0] for r in files.read_value_shards(spark, str(tmp_path / "plain"), multi_line=True).collect()]
     assert sorted(back, key=str) == sorted([v or None for v in values], key=str)
     part = next((tmp_path / "plain").glob("part-*.csv"))
     with open(part, newline="") as handle:
@@ -166,6 +166,9 @@ def test_shards_are_contiguous(spark):
     df = spark.range(230).selectExpr("format_string('f%02d', id % 23) as source", "'v' as value")
     rows = sinks.with_shard(df).select("source", "shard").distinct().collect()
     assert {r["source"]: r["shard"] for r in rows} == {f"f{i:02d}": i // 3 for i in range(23)}
+    manifest = spark.createDataFrame([(f"f{i:02d}",) for i in range(40)], "source string")
+    rows = sinks.with_shard(df, manifest=manifest).select("source", "shard").distinct().collect()
+    assert {r["source"]: r["shard"] for r in rows} == {f"f{i:02d}": i // 4 for i in range(23)}
 
 
 @pytest.fixture()
