@@ -16,16 +16,31 @@ from driftline.staging import scratch_path, staged
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with own columns of these names renamed, for a step that uses the names, and the way back."""
+    renamed = {n: f"__own_{i}" for i, n in enumerate(names) if n in docs.columns}
+    return docs.withColumnsRenamed(renamed), {new: old for old, new in renamed.items()}
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those that language identification rejects go."""
+    """Documents whose language is recognised; those that language identification rejects go.
+
+    Null texts and texts without letters are among the rejected. Columns of any name keep their values.
+    """
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    added = ["lang_pred", "score", "rejected"]
+    given, back = _apart(docs, added)
+    found = language_id.identify(given, model).where(~F.col("rejected"))
+    return found.drop(*added).withColumnsRenamed(back).select(*docs.columns)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that their source repeats; ``n_chars`` is counted again."""
-    clean = line_dedup.drop_boilerplate(docs)
+    """Documents without the lines that their source repeats; ``n_chars`` is counted again.
+
+    Columns of any other name keep their values.
+    """
+    given, back = _apart(docs, ["n_lines", "n_removed", "__host", "__keys", "__kept"])
+    clean = line_dedup.drop_boilerplate(given).drop("n_lines", "n_removed").withColumnsRenamed(back)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
