@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+import corpus_pipeline
 from driftline.llm import collocations, hard_negatives, secret_scan
 
 DOCS = "doc_id long, text string, lang string, source string, rank int, words string, n int, spans string, chunk string"
@@ -201,3 +202,21 @@ def test_random_tokens_are_told_from_names(spark):
     right = sum(s.text == planted[i] for i, s in spans)
     assert right >= 240
     assert len(spans) - right <= secret_scan.FALSE_SHARE * len(spans)
+
+
+# ---- pipeline -----------------------------------------------------------------
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Own columns that a stage uses itself for other things come through with their values."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = ["score", "rejected", "lang_pred", "n_lines", "n_removed", "__keys", "__kept", "__host"]
+    wide = docs.selectExpr("*", *(f"concat('{n}-', doc_id) as `{n}`" for n in own))
+    wide = wide.unionByName(spark.createDataFrame([(None, None, None, None, None)], docs.schema).selectExpr("*", *(f"'x' as `{n}`" for n in own)))
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        plain, kept = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        assert kept.columns == wide.columns
+        rows = kept.collect()
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in own), name
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.where("doc_id is not null").collect())
+        docs, wide = docs.where("doc_id < 100"), wide.where("doc_id < 100 and doc_id is not null")
