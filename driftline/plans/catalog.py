@@ -978,6 +978,24 @@ def incremental_ingest(spark, sf_dir):
     )
 
 
+@query("select 'done' as status, 1::bigint as attempts, count(*) as n_rows, count(event_type) as n_values, 0 as n_bad from events "
+       "union all select 'failed', 3, 0, 0, 1")
+def ingest_with_failure(spark, sf_dir):
+    """Drifting files and a bad one: taken in once, the bad one tried again twice, a second run finds nothing new."""
+    folder, out = _drifting_events(spark, sf_dir, _CLASHING), scratch_path(spark, "ingest")
+    table(spark, sf_dir, "region").select("r_name").coalesce(1).write.text(f"{folder}/not_parquet")
+    for _ in range(2):
+        ingest.ingest_field(
+            spark, f"{folder}/*", out, f"{out}/checkpoint", field="event_type", glob="part-*", files_per_batch=3
+        )
+        ingest.retry_failed(spark, out, field="event_type")
+    values = ingest.ingested(spark, out, "event_type").groupBy("file_name").agg(F.count("event_type").alias("_v"))
+    return ingest.ingest_state(spark, out).join(values, "file_name", "left").groupBy("status", "attempts").agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("_v"), F.lit(0)).alias("n_values"),
+        F.count_if(F.col("status") == "failed").cast("int").alias("n_bad"),
+    )
+
+
 # ---- whole jobs -----------------------------------------------------------------
 
 def _occurrence_folder(spark, sf_dir) -> str:

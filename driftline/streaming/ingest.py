@@ -19,17 +19,11 @@ def ingest_field(
     The stream is over the files, not their rows, because their schemas differ; its checkpoint holds
     the names already taken. Each batch probes its files on the executors, logs every one as done
     or failed, and writes the extracts of the good ones. A batch that is repeated after a failure
-    overwrites its own folders, so nothing appears twice. Failed files are not tried again.
+    overwrites its own folders, so nothing appears twice. Failed files are tried again by
+    ``retry_failed`` only.
     """
     def take(batch: DataFrame, batch_id: int) -> None:
-        probed = staged(probe_files(batch, deep), "ingest-probe")
-        extracts = harvest_field(spark, probed, field, struct)
-        write_extracts(extracts, f"{out}/extracts/batch={batch_id}", "overwrite")
-        log = probed.select(
-            "file_name", "path", "n_rows",
-            F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error",
-        )
-        log.write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
+        _take(spark, batch, out, batch_id, field, struct, deep)
 
     query = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
@@ -42,6 +36,44 @@ def ingest_field(
     query.awaitTermination()
 
 
+def _take(spark, files: DataFrame, out, batch_id, field, struct, deep) -> None:
+    """Extracts and log of some files (path, uri), in folders of their own that a repeated run overwrites."""
+    probed = staged(probe_files(files, deep), "ingest-probe")
+    extracts = harvest_field(spark, probed, field, struct)
+    write_extracts(extracts, f"{out}/extracts/batch={batch_id}", "overwrite")
+    log = probed.select(
+        "file_name", "path", "uri", "n_rows",
+        F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error",
+    )
+    # the log comes last: without it the batch is taken again
+    log.write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
+
+
+def retry_failed(
+    spark: SparkSession, out: str, field: str = "samplingProtocol", struct: str = "source", deep: bool = False,
+) -> None:
+    """Try the files again whose last attempt failed; what is good by now is taken in, once.
+
+    Retries are batches -1, -2, ... of their own. Without failed files nothing is written. A retry that was cut
+    short has no log and is repeated under the same number.
+    """
+    state = staged(ingest_state(spark, out), "ingest-state")
+    failed = state.filter("status = 'failed'")
+    if failed.isEmpty():
+        return
+    number = -(ingest_log(spark, out).filter("batch < 0").agg(F.count_distinct("batch")).first()[0] + 1)
+    _take(spark, failed.select("path", "uri"), out, number, field, struct, deep)
+
+
+def ingest_state(spark: SparkSession, out: str) -> DataFrame:
+    """One row per file: its last status and error, and how often it was tried."""
+    # retries follow all batches of the stream, in the order -1, -2, ...
+    turn = F.struct(F.col("batch") < 0, F.abs("batch"))
+    last = F.max_by(F.struct("file_name", "uri", "n_rows", "status", "error"), turn)
+    state = ingest_log(spark, out).groupBy("path").agg(last.alias("last"), F.count("*").alias("attempts"))
+    return state.select("path", "last.*", "attempts")
+
+
 def ingested(spark: SparkSession, out: str, field: str = "samplingProtocol") -> DataFrame:
     """All extracts so far: file name and value."""
     return spark.read.schema(f"`{field}` string, batch long, file_name string").parquet(
@@ -51,7 +83,7 @@ def ingested(spark: SparkSession, out: str, field: str = "samplingProtocol") ->
 
 def ingest_log(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(
-        "file_name string, path string, n_rows long, status string, error string, batch long"
+        "file_name string, path string, uri string, n_rows long, status string, error string, batch long"
     ).parquet(f"{out}/log")
 
 

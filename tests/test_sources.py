@@ -127,6 +127,27 @@ def test_ingest_resumes(spark, drift, tmp_path_factory):
                    "e.parquet": "failed", "g.parquet": "done"}
 
 
+def test_failed_files_are_taken_in_after_a_retry(spark, drift, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("out"))
+
+    def run():
+        ingest.ingest_field(spark, drift, out, f"{out}/checkpoint", "y", files_per_batch=2)
+        return ingest.ingested(spark, out, "y").count()
+
+    def bad():
+        return {r.file_name: (r.status, r.attempts) for r in ingest.ingest_state(spark, out).collect()}["e.parquet"]
+
+    assert run() == 5 and bad() == ("failed", 1)
+    ingest.retry_failed(spark, out, "y")
+    assert run() == 5 and bad() == ("failed", 2)
+    pq.write_table(_struct([{"y": "late"}, {"y": None}], y=pa.string()), f"{drift}/e.parquet")
+    assert ingest.ingested(spark, out, "y").count() == 5  # only a retry takes it in
+    for _ in range(2):
+        ingest.retry_failed(spark, out, "y")
+        assert ingest.ingested(spark, out, "y").count() == 7 and bad() == ("done", 3)
+    assert ingest.ingested(spark, out, "y").filter("y = 'late'").count() == 1
+
+
 def test_ingest_rows_of_known_schema(spark, tmp_path):
     folder, out = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
