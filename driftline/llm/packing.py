@@ -29,10 +29,10 @@ _PLAIN = "[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f]*"
 def encoder(json_text: str, rank_lines: bytes | None, pattern: str | None):
     """A function from text to little-endian unsigned 32-bit identifiers.
 
-    A blank before other text starts a new word in this family of models, so text is cut there and
-    a bounded memo spares repeated words. New words go to the fast encoder if its rank file is
-    given and the word is plain, else to the tokenizer itself; special strings have their own
-    identifiers, as by the tokenizer's default.
+    A plain text goes to the fast encoder as a whole, if its rank file is given. In other texts a
+    blank before other text starts a new word in this family of models, so text is cut there and a
+    bounded memo spares repeated words; each word goes to the fast encoder if it is plain, else to the
+    tokenizer itself. Special strings have their own identifiers, as by the tokenizer's default.
     """
     import base64
     import re
@@ -51,12 +51,16 @@ def encoder(json_text: str, rank_lines: bytes | None, pattern: str | None):
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
     plain = re.compile(_PLAIN)
 
+    def is_plain(text: str) -> bool:
+        return fast is not None and plain.fullmatch(text) is not None
+
     def ids_of(text: str) -> bytes:
-        if fast is not None and plain.fullmatch(text):
-            ids = fast.encode(text, allowed_special="all")
-        else:
-            ids = slow.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
+        if is_plain(text):
+            try:
+                return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:  # its pattern matcher gives up on very long runs of white space
+                pass
+        return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     memo = Memo(lambda word: ids_of(" " + word))
     after_blank, inner_blank = re.compile(r" \s|\s $"), re.compile(r" (?=\S)")
@@ -64,6 +68,8 @@ def encoder(json_text: str, rank_lines: bytes | None, pattern: str | None):
     def encode(text: str) -> bytes:
         if not text:
             return b""
+        if is_plain(text):
+            return ids_of(text)
         if after_blank.search(text) or text[-1] == " ":
             words = inner_blank.split(text)
         else:

@@ -268,6 +268,7 @@ def test_encoder_with_and_without_the_fast_path():
     text = open(BYTES).read()
     fast, slow = packing.encoder(text, lines, public_tokenizers.PATTERN), packing.encoder(text, None, None)
     whole = Tokenizer.from_str(text)
-    for sample in ODD:
+    long_runs = ["a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000, "x" * 300_000, "<|endoftext|> a  b<|endoftext|>"]
+    for sample in ODD + long_runs:
         ids = whole.encode(sample or "", add_special_tokens=False).ids
         assert fast(sample or "") == slow(sample or "") == struct.pack(f"<{len(ids)}I", *ids)
