@@ -40,6 +40,7 @@ FREQUENT = 64
 POSTINGS_PER_BUCKET = 400_000
 POSTINGS_PER_FLUSH = 1_000_000
 RESIDENTS_PER_BLOCK = 600
+VISITORS_PER_PART = 2_400
 MEMBERS_PER_GROUP = 1_000
 BROADCAST_ROWS = 1 << 20
 #: Rows that a step turns into sets, or compares, at a time.
@@ -141,11 +142,12 @@ def occurring(lists: list[list[int]], least: int, known=None):
 
 # ---- sets and classes ------------------------------------------------------------------------
 
-_SETS = "doc_id long, n long, signature binary, n_first long, minima array<long>"
+_SETS = "doc_id long, n long, signature binary, n_first long, minima array<long>, shingles binary"
 
 
-def _signed(hashes: np.ndarray) -> np.ndarray:
-    return hashes.view(np.int64)
+def _hashes(stored: bytes) -> np.ndarray:
+    """A set as it is staged: its sorted hashes, eight bytes each."""
+    return np.frombuffer(stored, dtype="<u8")
 
 
 def n_first(own: np.ndarray) -> int:
@@ -158,7 +160,10 @@ def prefix_length(n: int) -> int:
 
 def set_table(docs: DataFrame) -> DataFrame:
     """One row for each document: size and 128-bit signature of its set (null if empty), how many
-    hashes are in the first part of the order, and minima under several orders."""
+    hashes are in the first part of the order, minima under several orders, and the set itself.
+
+    Texts are read and hashed here only; later steps read the staged sets.
+    """
     factors = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def run(batches):
@@ -169,13 +174,14 @@ def set_table(docs: DataFrame) -> DataFrame:
                 own = shingles(text, memo)
                 n = len(own)
                 if not n:
-                    rows.append((doc_id, 0, None, 0, []))
+                    rows.append((doc_id, 0, None, 0, [], None))
                     continue
                 minima = mix(own[None, :] * factors[:, None]).min(axis=1)
+                stored = own.astype("<u8", copy=False).tobytes()
                 rows.append((
-                    doc_id, n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n_first(own), _signed(minima),
+                    doc_id, n, hashlib.blake2b(stored, digest_size=16).digest(), n_first(own), minima.view(np.int64), stored,
                 ))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                 names=[f.split()[0] for f in _SETS.split(", ")],
@@ -184,23 +190,10 @@ def set_table(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _SETS, ROWS_AT_A_TIME)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, columns: str) -> DataFrame:
-    """The rows of ``wanted`` (node and ``columns``) with the shingles of the node's text."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(
-        broadcast_up_to(wanted, BROADCAST_ROWS), "node"
-    ).select("node", "text", *names)
-
-    def run(batches):
-        memo = word_hash_memo()
-        for batch in batches:
-            sets = [_signed(shingles(t, memo)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64())), *batch.columns[2:]],
-                names=["node", "shingles", *names],
-            )
-
-    return map_batches(rows, run, f"node long, shingles array<long>, {columns}", ROWS_AT_A_TIME)
+def _sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (node and other columns) with the node's staged set."""
+    own = sets.select(F.col("doc_id").alias("node"), "shingles")
+    return own.join(broadcast_up_to(wanted, BROADCAST_ROWS), "node")
 
 
 # ---- one likely relative ---------------------------------------------------------------------
@@ -221,7 +214,7 @@ def _relatives(classes: DataFrame) -> DataFrame:
     )
 
 
-def _compare_relatives(docs: DataFrame, relatives: DataFrame) -> DataFrame:
+def _compare_relatives(sets: DataFrame, relatives: DataFrame) -> DataFrame:
     """Links (a, b) of nodes with their leaders.
 
     A leader's members are dealt into groups of about MEMBERS_PER_GROUP, and the leader's set goes
@@ -237,7 +230,7 @@ def _compare_relatives(docs: DataFrame, relatives: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"),
     )
     wanted = staged(members.unionByName(heads), "relative-groups")
-    dealt = _sets_of(docs, wanted, "leader long, part int, role int").repartition("leader", "part").sortWithinPartitions(
+    dealt = _sets_of(sets, wanted).repartition("leader", "part").sortWithinPartitions(
         "leader", "part", "role"
     )
 
@@ -246,9 +239,9 @@ def _compare_relatives(docs: DataFrame, relatives: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             nodes, leaders, roles = (batch.column(n).to_pylist() for n in ("node", "leader", "role"))
-            sets = batch.column("shingles")
+            stored = batch.column("shingles")
             for i, node in enumerate(nodes):
-                own = sets[i].values.to_numpy(zero_copy_only=False)
+                own = _hashes(stored[i].as_py())
                 if roles[i] == 0:
                     head, leader = own, leaders[i]
                 elif leaders[i] == leader:
@@ -277,7 +270,7 @@ _POSTED = "bucket int, kind int, hashes binary, owners binary"
 _PLAIN, _NOTICE, _HEAVY = 0, 1, 2
 
 
-def _post(docs: DataFrame, buckets: int) -> DataFrame:
+def _post(sets: DataFrame, buckets: int) -> DataFrame:
     """The shingles of all documents that may be in prefixes, in blobs for each range of hashes.
 
     A shingle that many documents of one task have is known to be frequent already; its range gets
@@ -314,11 +307,11 @@ def _post(docs: DataFrame, buckets: int) -> DataFrame:
         return [(int(own[i]), i, j) for i, j in zip(at, [*at[1:], len(own)], strict=True)]
 
     def run(batches):
-        memo, held, owners, size = word_hash_memo(), [], [], 0
+        held, owners, size = [], [], 0
         turn = 0
         for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = shingles(text, memo)
+            for doc_id, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _hashes(stored.as_py())
                 first = n_first(own)
                 if prefix_length(len(own)) <= first:
                     own = own[:first]
@@ -333,7 +326,7 @@ def _post(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush(held, owners, turn + 1 + owners[0] % 1009)
 
-    known = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    known = sets.where("doc_id is not null and signature is not null").select("doc_id", "shingles")
     return map_batches(known, run, _POSTED, ROWS_AT_A_TIME)
 
 
@@ -395,10 +388,11 @@ def _prefixes(classes: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _routes(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (node, block, component, role): role 0 lives in the block, role 1 is searched there.
+    """Rows (node, block, part, component, role): role 0 lives in the block, role 1 is searched there.
 
     Only lists that reach several groups matter. A group lives in one block, a large one in several,
-    and the members of the smaller of two groups are searched where the larger lives.
+    and the members of the smaller of two groups are searched where the larger lives. The visitors of
+    a block are dealt into parts of about VISITORS_PER_PART, and those who live there go to each.
     """
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     known = staged(
@@ -425,20 +419,24 @@ def _routes(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
         .select("node", "block", "component", F.lit(1).alias("role")).distinct()
     )
     visits = staged(visits, "visits")
-    visited = visits.select("block").distinct()
-    return staged(visits.unionByName(living.join(visited, "block", "left_semi").select(*visits.columns)), "routes")
+    parts = staged(visits.groupBy("block").agg(
+        F.ceil(F.count("*") / VISITORS_PER_PART).cast("int").alias("parts")), "block-parts")
+    columns = ["node", "block", "part", "component", "role"]
+    dealt = visits.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    copied = living.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return staged(dealt.select(*columns).unionByName(copied.select(*columns)), "routes")
 
 
-def _search(docs: DataFrame, routes: DataFrame) -> DataFrame:
+def _search(sets: DataFrame, routes: DataFrame) -> DataFrame:
     """Links (a, b) between groups: visitors of a block searched in the inverted lists of those who live
-    there. A task holds the lists of one block; visitors stream by."""
+    there. A task holds the lists of one block; the visitors of a part stream by."""
     dealt = (
-        _sets_of(docs, routes, "block int, component long, role int")
-        .repartition("block").sortWithinPartitions("block", "role", "node")
+        _sets_of(sets, routes)
+        .repartition("block", "part").sortWithinPartitions("block", "part", "role", "node")
     )
 
     def run(batches):
-        block, nodes, groups, sets, lists = None, [], [], [], None
+        place, nodes, groups, own_sets, lists = None, [], [], [], None
         parent: dict[int, int] = {}
 
         def root(group):
@@ -449,19 +447,19 @@ def _search(docs: DataFrame, routes: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            columns = [batch.column(n).to_pylist() for n in ("node", "block", "component", "role")]
-            shingle_lists = batch.column("shingles")
-            for i, (node, at, component, role) in enumerate(zip(*columns, strict=True)):
-                if at != block:
-                    block, nodes, groups, sets, lists, parent = at, [], [], [], None, {}
-                own = shingle_lists[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            columns = [batch.column(n).to_pylist() for n in ("node", "block", "part", "component", "role")]
+            stored = batch.column("shingles")
+            for i, (node, *at, component, role) in enumerate(zip(*columns, strict=True)):
+                if at != place:
+                    place, nodes, groups, own_sets, lists, parent = at, [], [], [], None, {}
+                own = _hashes(stored[i].as_py())
                 if role == 0:
                     nodes.append(node)
                     groups.append(component)
-                    sets.append(own)
+                    own_sets.append(own)
                     continue
                 if lists is None:
-                    lists = InvertedLists(sets)
+                    lists = InvertedLists(own_sets)
                 same = lambda r: root(groups[r]) == root(component)  # noqa: B023, E731
                 for r, shared in occurring(lists.of(own), least_overlap(len(own)), same):
                     if not same(r) and links_with(len(own), lists.sizes[r], shared):
@@ -482,7 +480,6 @@ def join_components(docs: DataFrame) -> DataFrame:
     repeated rows are one document with several rows (an id is taken to mean one text); other columns
     are ignored; no rows give no rows.
     """
-    docs = docs.select("doc_id", "text")
     sets = staged(set_table(docs), "shingle-sets")
     known = sets.where("doc_id is not null and signature is not null")
     classes = staged(
@@ -490,13 +487,13 @@ def join_components(docs: DataFrame) -> DataFrame:
             F.struct(F.col("doc_id").alias("node"), "n", "n_first", "minima"), F.col("doc_id")).alias("c"))
         .select("signature", "c.*"), "shingle-classes",
     )
-    near = staged(_compare_relatives(docs, staged(_relatives(classes), "relatives")), "near-links")
+    near = staged(_compare_relatives(sets, staged(_relatives(classes), "relatives")), "near-links")
     labels = staged(components(near), "near-components")
 
     total = known.agg(F.sum("n_first")).first()[0] or 0
-    posted = _post(docs, max(8, -(-total // POSTINGS_PER_BUCKET)))
+    posted = _post(sets, max(8, -(-total // POSTINGS_PER_BUCKET)))
     prefixes = staged(_prefixes(classes, _shared_shingles(posted)), "prefixes")
-    more = staged(_search(docs, _routes(prefixes, labels)), "far-links")
+    more = staged(_search(sets, _routes(prefixes, labels)), "far-links")
     joined = staged(components(near.unionByName(more)), "components")
 
     by_signature = staged(

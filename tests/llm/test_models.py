@@ -226,6 +226,7 @@ def corpus(seed, n=160):
 def test_join_against_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "RESIDENTS_PER_BLOCK", 7)
     monkeypatch.setattr(ngram_join, "MEMBERS_PER_GROUP", 5)
+    monkeypatch.setattr(ngram_join, "VISITORS_PER_PART", 3)
     monkeypatch.setattr(ngram_join, "FREQUENT", 6)
     if seed == 2:  # no likely relatives: all links by search; broadcasts refused
         monkeypatch.setattr(ngram_join, "_relatives", lambda c: c.selectExpr("node", "node as leader").limit(0))
