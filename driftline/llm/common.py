@@ -1,6 +1,7 @@
 """What the operators of this subpackage share."""
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,19 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema, rows: i
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int):
+    """Steps that run within send batches of at most so many rows to Python, so that executors hold
+    little outside their heap; the session's own setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back_memory() -> None:
     """Return memory that Arrow and the C library hold for reuse to the system."""
     import ctypes

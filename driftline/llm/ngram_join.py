@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from driftline.llm.common import (
-    broadcast_up_to, components, map_batches, mix, shingle_hashes, word_hash_memo,
+    broadcast_up_to, components, map_batches, mix, rows_a_batch, shingle_hashes, word_hash_memo,
 )
 from driftline.staging import staged
 
@@ -480,21 +480,22 @@ def join_components(docs: DataFrame) -> DataFrame:
     repeated rows are one document with several rows (an id is taken to mean one text); other columns
     are ignored; no rows give no rows.
     """
-    sets = staged(set_table(docs), "shingle-sets")
-    known = sets.where("doc_id is not null and signature is not null")
-    classes = staged(
-        known.groupBy("signature").agg(F.min_by(
-            F.struct(F.col("doc_id").alias("node"), "n", "n_first", "minima"), F.col("doc_id")).alias("c"))
-        .select("signature", "c.*"), "shingle-classes",
-    )
-    near = staged(_compare_relatives(sets, staged(_relatives(classes), "relatives")), "near-links")
-    labels = staged(components(near), "near-components")
-
-    total = known.agg(F.sum("n_first")).first()[0] or 0
-    posted = _post(sets, max(8, -(-total // POSTINGS_PER_BUCKET)))
-    prefixes = staged(_prefixes(classes, _shared_shingles(posted)), "prefixes")
-    more = staged(_search(sets, _routes(prefixes, labels)), "far-links")
-    joined = staged(components(near.unionByName(more)), "components")
+    with rows_a_batch(docs.sparkSession, ROWS_AT_A_TIME):
+        sets = staged(set_table(docs), "shingle-sets")
+        known = sets.where("doc_id is not null and signature is not null")
+        classes = staged(
+            known.groupBy("signature").agg(F.min_by(
+                F.struct(F.col("doc_id").alias("node"), "n", "n_first", "minima"), F.col("doc_id")).alias("c"))
+            .select("signature", "c.*"), "shingle-classes",
+        )
+        near = staged(_compare_relatives(sets, staged(_relatives(classes), "relatives")), "near-links")
+        labels = staged(components(near), "near-components")
+
+        total = known.agg(F.sum("n_first")).first()[0] or 0
+        posted = _post(sets, max(8, -(-total // POSTINGS_PER_BUCKET)))
+        prefixes = staged(_prefixes(classes, _shared_shingles(posted)), "prefixes")
+        more = staged(_search(sets, _routes(prefixes, labels)), "far-links")
+        joined = staged(components(near.unionByName(more)), "components")
 
     by_signature = staged(
         classes.select("signature", "node").join(joined, "node", "left")
