@@ -6,21 +6,28 @@ and interpolation are joins and aggregations, one step for each order. What the
 is kept in sorted arrays of hashes, one for each order, with the log-probabilities of all languages
 beside them. A text gets the language of the lowest cross-entropy per character; one that no model
 explains, measured against how each model explains its own language, is rejected.
+
+The arrays grow with the corpus and lose nothing: hashing is one to one. They are cut into parts by the
+letter before a window's last, so that a part holds all that its windows look up, of whatever order;
+a part is bounded, and texts are scored part after part. A letter is told by the lower 16 bits of its
+code point, so the rarer letters beyond U+FFFF share values with others.
 """
 
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from driftline.llm.common import map_batches, mix, offsets_of
+from driftline.llm.common import map_batches, mix, offsets_of, rows_a_batch
 from driftline.staging import staged
 
 ORDER = 4
 UNKNOWN = "und"
-#: Hashes have this many bits, so that an array has at most 2**HASH_BITS entries on any corpus.
-HASH_BITS = 22
+#: Values (entries by languages) of a part of the model, which is broadcast at a time.
+PART_VALUES = 1 << 24
+#: Texts that a task takes at a time.
+ROWS_AT_A_TIME = 1_000
 #: A text is rejected when its cross-entropy exceeds its language's mean by this share of it plus
 #: this many standard errors (characters within an order depend on each other).
 SLACK, STANDARD_ERRORS = 0.5, 6.0
@@ -29,7 +36,7 @@ EVIDENCE = 100
 _BLANK = 32
 _FLUSH = 1 << 21
 #: Characters that a task turns into windows at a time, or one text if it is longer.
-_CHARACTERS = 1 << 20
+_CHARACTERS = 1 << 18
 
 
 def _folded() -> np.ndarray:
@@ -131,43 +138,91 @@ def _shorter(gram: Column, order: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
 
 
-class Model:
-    """Learned languages and, for each order, sorted hashes with values for all languages."""
+class Tables:
+    """One part of the model: for each order, sorted hashes with values for all languages."""
 
-    def __init__(self, languages, grams, contexts, unknown, mean, spread):
-        self.languages, self.grams, self.contexts = languages, grams, contexts
-        self.unknown, self.mean, self.spread = unknown, mean, spread
+    def __init__(self, grams, contexts, unknown: float, languages: int):
+        self.grams, self.contexts, self.unknown, self.languages = grams, contexts, unknown, languages
 
-    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, packed: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Of each window's last character after the others; one column for each language."""
-        return self._of_order(ORDER, packed)
-
-    def _of_order(self, order: int, packed: np.ndarray) -> np.ndarray:
         if order == 0:
-            return np.broadcast_to(self.unknown, (len(packed), len(self.languages))).astype(np.float32)
-        hashes, values = self.grams[order]
-        out, missing = _look_up(hashes, values, packed)
+            return np.broadcast_to(self.unknown, (len(packed), self.languages)).astype(np.float32)
+        out, missing = _look_up(*self.grams[order], packed)
         if len(missing):
             # backed off: the weight that the context leaves to lower orders, times the lower order
             rest = packed[missing]
-            lower = self._of_order(order - 1, rest & np.uint64((1 << 16 * (order - 1)) - 1))
-            context_hashes, weights = self.contexts[order]
-            weight, unseen = _look_up(context_hashes, weights, rest >> np.uint64(16))
+            lower = self.log_probabilities(rest & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
+            weight, unseen = _look_up(*self.contexts[order], rest >> np.uint64(16))
             weight[unseen] = 0
             out[missing] = weight + lower
         return out
 
 
-def _slot(packed: np.ndarray) -> np.ndarray:
-    return (mix(mix(packed * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+class Model:
+    """Learned languages, how each explains its own text, and the tables of its parts.
+
+    ``values`` has a row for each gram and context of all orders. ``places`` tells for each letter the
+    first of its parts and their number; a letter with several is cut by the letter before it.
+    """
+
+    def __init__(self, languages, unknown=0.0, mean=None, spread=None, values=None, places=None, parts=0):
+        self.languages, self.unknown, self.mean, self.spread = languages, unknown, mean, spread
+        self.values, self.places, self.parts = values, places, parts
+
+    def tables(self, part: int) -> Tables:
+        """All that the windows of a part look up; at most about PART_VALUES values."""
+        letters = np.flatnonzero(self.places[1])
+        places = self.values.sparkSession.createDataFrame(
+            [(int(i), int(self.places[0][i]), int(self.places[1][i])) for i in letters],
+            "letter int, first int, parts int",
+        )
+        own = F.col("letter").isNull() | (F.lit(part) == F.col("first") + F.col("before") % F.col("parts")) | (
+            F.col("before").isNull() & F.lit(part).between(F.col("first"), F.col("first") + F.col("parts") - 1)
+        )
+        rows = (  # at most 65,536 letters
+            self.values.join(F.broadcast(places), "letter", "left").where(own)
+            .drop("letter", "before", "first", "parts").toArrow()
+        )
+        orders, context = rows.column("order").to_numpy(), rows.column("context").to_numpy()
+        hashes = _hash(rows.column("gram").to_numpy().view(np.uint64))
+        matrix = np.stack([rows.column(f"v{i}").to_numpy() for i in range(len(self.languages))], axis=1)
+
+        def sorted_rows(order: int, of_context: bool):
+            at = np.flatnonzero((orders == order) & (context == of_context))
+            at = at[np.argsort(hashes[at])]
+            return hashes[at], matrix[at]
+
+        grams, contexts = ({o: sorted_rows(o, c) for o in range(1, ORDER + 1)} for c in (False, True))
+        return Tables(grams, contexts, self.unknown, len(self.languages))
+
+    def log_probabilities(self, packed: np.ndarray) -> np.ndarray:
+        """Of each window's last character, from all parts."""
+        out = np.zeros((len(packed), len(self.languages)), np.float32)
+        part = _part_of(packed, self.places)
+        for k in np.unique(part).tolist():
+            out[part == k] = self.tables(k).log_probabilities(packed[part == k])
+        return out
+
+
+def _part_of(packed: np.ndarray, places) -> np.ndarray:
+    first, parts = places
+    letter = (packed >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)
+    before = (packed >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)
+    return first[letter] + before % np.maximum(parts[letter], 1)
+
+
+def _hash(packed: np.ndarray) -> np.ndarray:
+    """One to one, so that equal hashes are equal grams."""
+    return mix(mix(packed * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def _look_up(hashes, values, packed):
-    slots = _slot(packed)
     if not len(hashes):
         return np.zeros((len(packed), values.shape[1]), np.float32), np.arange(len(packed))
-    at = np.minimum(np.searchsorted(hashes, slots), len(hashes) - 1)
-    return values[at], np.flatnonzero(hashes[at] != slots)
+    wanted = _hash(packed)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return values[at], np.flatnonzero(hashes[at] != wanted)
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
@@ -176,14 +231,17 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
     Rows with a null language or text teach nothing. Without rows, no language is learned.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sent = docs.sparkSession.sparkContext.broadcast(_folded())
     counts = map_batches(
-        known.select(F.col(lang_col).cast("string"), text_col), _count_batches(docs.sparkSession.sparkContext.broadcast(_folded())),
-        "lang string, gram long, n long",
+        known.select(F.col(lang_col).cast("string"), text_col), _count_batches(sent), "lang string, gram long, n long",
+        ROWS_AT_A_TIME,
     ).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = staged(counts, "language-grams")
+    with rows_a_batch(docs.sparkSession, ROWS_AT_A_TIME):
+        top = staged(counts, "language-grams")
+    sent.unpersist()
     languages = sorted(r[0] for r in top.select("lang").distinct().collect())
     if not languages:
-        return Model([], {}, {}, 0.0, None, None)
+        return Model([])
 
     # by order: counts of the highest, then in how many contexts a shorter gram continues
     tables = {ORDER: top}
@@ -226,17 +284,16 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
         below = staged(joined.select("lang", "gram", p.alias("p"), F.coalesce("n", F.lit(0)).alias("n")), f"language-p-{order}")
         tables[order] = below
 
-    values = {
-        order: _gather(tables[order].select("gram", "lang", F.log("p").alias("value"), "n"), languages)
-        for order in range(1, ORDER + 1)
-    }
-    backed = {
-        order: _gather(weights[order].select(
-            F.col("context").alias("gram"), "lang",
-            F.log(F.col("discount") * F.col("kinds") / F.col("total")).alias("value"), F.col("total").alias("n"),
-        ), languages)
-        for order in range(1, ORDER + 1)
-    }
+    values = staged(reduce(DataFrame.unionByName, [
+        rows for order in range(1, ORDER + 1) for rows in (
+            _by_gram(tables[order].select("gram", "lang", F.log("p").alias("value")), languages, order, False),
+            _by_gram(weights[order].select(
+                F.col("context").alias("gram"), "lang",
+                F.log(F.col("discount") * F.col("kinds") / F.col("total")).alias("value"),
+            ), languages, order, True),
+        )
+    ]), "language-values")
+    places, parts = _places(values, max(1, PART_VALUES // len(languages)))
     # how a language's own text fares: mean and spread of minus log p over all its characters
     own = {
         r["lang"]: r for r in tables[ORDER].groupBy("lang").agg(
@@ -246,57 +303,61 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mode
     }
     mean = np.array([own[k]["s"] / own[k]["n"] for k in languages])
     spread = np.sqrt(np.maximum(np.array([own[k]["ss"] / own[k]["n"] for k in languages]) - mean**2, 0))
-    return Model(languages, values, backed, np.log(1.0 / letters), mean, spread)
+    return Model(languages, np.log(1.0 / letters), mean, spread, values, places, parts)
 
 
-def _gather(table: DataFrame, languages) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and a row of values for each: at most 2**HASH_BITS rows, whatever the corpus.
+def _by_gram(table: DataFrame, languages, order: int, context: bool) -> DataFrame:
+    """A row for each gram or context: its order, the two letters that decide its part (null where it
+    has none), and the values of all languages."""
+    at = 0 if context else 16  # bits before the letter
 
-    Where two grams share a hash, the one with the higher count stands.
-    """
-    wide = table.groupBy("gram").agg(
-        F.sum("n").alias("n"),
-        *(F.coalesce(F.max(F.when(F.col("lang") == k, F.col("value"))), F.lit(0.0)).alias(f"v{i}")
-          for i, k in enumerate(languages)),
-    )
-    names = [f"v{i}" for i in range(len(languages))]
+    def letter(least: int, bits: int) -> Column:
+        found = F.shiftrightunsigned("gram", bits).bitwiseAND(F.lit(0xFFFF)).cast("int")
+        return found if order >= least else F.lit(None).cast("int")
 
-    def run(batches):
-        for batch in batches:
-            slots = _slot(batch.column("gram").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns], names=["slot", *batch.schema.names])
-
-    schema = "slot int, gram long, n long, " + ", ".join(f"{v} double" for v in names)
-    best = (
-        map_batches(wide, run, schema).groupBy("slot")
-        .agg(F.max_by(F.struct(*names), F.struct("n", "gram")).alias("v")).select("slot", "v.*")
-        .toArrow()
-    )
-    slots = best.column("slot").to_numpy()
-    order = np.argsort(slots)
-    matrix = np.stack([best.column(v).to_numpy() for v in names], axis=1).astype(np.float32)
-    return slots[order].astype(np.int32), matrix[order]
-
-
-def _predictions(model: Model, texts, fold):
-    """Languages, scores and rejections of texts."""
-    k = len(model.languages)
-    packed, bounds = _grams(texts, fold)
-    n = np.diff(bounds)
-    sums = np.zeros((len(texts), max(k, 1)))
+    return table.groupBy("gram").agg(
+        *(F.coalesce(F.max(F.when(F.col("lang") == k, F.col("value"))), F.lit(0.0)).cast("float").alias(f"v{i}")
+          for i, k in enumerate(languages)),
+    ).select(F.lit(order).alias("order"), F.lit(context).alias("context"), letter(2, at).alias("letter"),
+             letter(3, at + 16).alias("before"), "*")
+
+
+def _places(values: DataFrame, limit: int):
+    """First part and number of parts of each letter, and the number of all parts. Letters fill a part
+    up to ``limit`` rows; one with more rows gets parts of its own."""
+    counts = values.where("letter is not null").groupBy("letter").agg(F.count("*").alias("n"))
+    first, parts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    part = filled = 0
+    for letter, n in sorted(map(tuple, counts.collect())):  # at most 65,536 letters
+        if filled and filled + n > limit:
+            part, filled = part + 1, 0
+        first[letter], parts[letter] = part, -(-n // limit)
+        part, filled = part + parts[letter] - 1, filled + n if n <= limit else limit
+    return (first, parts), int(part) + 1
+
+
+def _add_part(sums: np.ndarray, tables: Tables, places, part: int, packed, bounds) -> None:
+    """Add the log-probabilities of a part's windows to the sums of their texts."""
+    at = np.flatnonzero(_part_of(packed, places) == part)
+    if len(at):
+        text = np.searchsorted(bounds, at, side="right") - 1
+        first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        sums[text[first]] += np.add.reduceat(tables.log_probabilities(packed[at]), first, axis=0, dtype=np.float64)
+
+
+def _decided(languages, mean, spread, sums: np.ndarray, n: np.ndarray):
+    """Languages, scores and rejections of texts with these log-probabilities and numbers of windows."""
+    lang = np.full(len(n), UNKNOWN, dtype=object)
+    score, rejected = np.zeros(len(n)), np.ones(len(n), dtype=bool)
     some = n > 0
-    if k and some.any():
-        sums[some] = np.add.reduceat(model.log_probabilities(packed), bounds[:-1][some], axis=0, dtype=np.float64)
-    lang = np.full(len(texts), UNKNOWN, dtype=object)
-    score, rejected = np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-    if k and some.any():
+    if languages and some.any():
         entropy = -sums[some] / n[some, None]
         best = entropy.argmin(axis=1)
         least = entropy.min(axis=1)
         odds = np.exp(-(entropy - least[:, None]) * np.minimum(n[some], EVIDENCE)[:, None])
-        lang[some] = np.array(model.languages, dtype=object)[best]
+        lang[some] = np.array(languages, dtype=object)[best]
         score[some] = 1 / odds.sum(axis=1)
-        limit = model.mean[best] * (1 + SLACK) + STANDARD_ERRORS * model.spread[best] * np.sqrt(ORDER / n[some])
+        limit = mean[best] * (1 + SLACK) + STANDARD_ERRORS * spread[best] * np.sqrt(ORDER / n[some])
         rejected[some] = least > limit
     return lang, score, rejected
 
@@ -306,26 +367,54 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     A null text or one without letters is ``und`` with score 0 and rejected, as is every text when no
     language was learned. A text's score is the share of its language in the odds of all. Repeated
-    rows are predicted each. The model is broadcast: at most 2**HASH_BITS entries an order.
+    rows are predicted each. The model is broadcast a part at a time; with more than one, the rows are
+    written out with the sums so far after each but the last.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((vars(model), _folded()))
+    spark = docs.sparkSession
     new = ["lang_pred", "score", "rejected"]
-    base = docs.drop(*new)
-    at = base.columns.index(text_col)
+    out = docs.drop(*new)
+    names, at = out.columns, out.columns.index(text_col)
+    carried = "sums"
+    while carried in names:
+        carried = f"_{carried}"
+    last = max(model.parts, 1) - 1
+    for part in range(last + 1):
+        tables = model.tables(part) if model.parts else None
+        sent = spark.sparkContext.broadcast(
+            (model.languages, model.mean, model.spread, model.places, tables, _folded())
+        )
+        schema = T.StructType([f for f in out.schema.fields if f.name != carried])
+        if part < last:
+            schema.add(carried, T.ArrayType(T.DoubleType()))
+        else:
+            schema.add(new[0], T.StringType()).add(new[1], T.DoubleType()).add(new[2], T.BooleanType())
+        out = map_batches(out, _scorer(sent, part, last, at, len(names), schema.names), schema, ROWS_AT_A_TIME)
+        if part < last:
+            with rows_a_batch(spark, ROWS_AT_A_TIME):
+                out = staged(out, "language-sums")
+            sent.unpersist()
+    return out
 
+
+def _scorer(sent, part: int, last: int, at: int, width: int, names: list[str]):
+    """Adds a part's sums to the rows, or decides where it is the last; the first ``width`` columns stay."""
     def run(batches):
-        fields, fold = sent.value
-        model = Model(**fields)
+        languages, mean, spread, places, tables, fold = sent.value
+        k = len(languages)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = [_predictions(model, texts[part], fold) for part in _parts(texts)]
-            lang, score, rejected = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
-                names=[*batch.schema.names, *new],
-            )
-
-    schema = reduce(
-        lambda s, f: s.add(*f), zip(new, ("string", "double", "boolean"), strict=True), type(base.schema)(list(base.schema.fields))
-    )
-    return map_batches(base, run, schema)
+            sums, n = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
+            if batch.num_columns > width:
+                sums += batch.column(width).flatten().to_numpy().reshape(len(texts), k)
+            for piece in _parts(texts):
+                packed, bounds = _grams(texts[piece], fold)
+                n[piece] = np.diff(bounds)
+                if tables is not None:
+                    _add_part(sums[piece], tables, places, part, packed, bounds)
+            if part < last:
+                new = [pa.array(list(sums), pa.list_(pa.float64()))]
+            else:
+                lang, score, rejected = _decided(languages, mean, spread, sums, n)
+                new = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=names)
+    return run

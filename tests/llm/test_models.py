@@ -48,6 +48,48 @@ def test_language_id(spark, language_docs):
     assert language_id.identify(language_docs.limit(0), model).count() == 0
 
 
+def test_predictions_equal_a_plain_version_in_any_number_of_parts(language_docs):
+    """Language, score and rejection from plain dictionaries of log-probabilities, text by text."""
+    docs = language_docs.where("doc_id is null or doc_id <> 93")
+    whole = language_id.fit(docs)
+    assert whole.parts == 1
+    fold, texts = language_id._folded(), {r.doc_id: r.text for r in docs.collect()}
+    expected = {}
+    for key, text in texts.items():
+        windows = language_id._grams([text], fold)[0]
+        if not len(windows):
+            expected[key] = ("und", 0.0, True)
+            continue
+        logs = whole.log_probabilities(windows).astype(float)
+        entropy = [-sum(row[i] for row in logs) / len(logs) for i in range(2)]
+        best = min(range(2), key=lambda i: entropy[i])
+        odds = [np.exp(-(e - entropy[best]) * min(len(logs), language_id.EVIDENCE)) for e in entropy]
+        limit = whole.mean[best] * (1 + language_id.SLACK) + language_id.STANDARD_ERRORS * whole.spread[best] * (
+            language_id.ORDER / len(logs)) ** 0.5
+        expected[key] = (whole.languages[best], 1 / sum(odds), bool(entropy[best] > limit))
+    for rows in (1 << 20, 150, 30):
+        places, parts = language_id._places(whole.values, rows)
+        assert (parts > 1) == (rows <= 150) and (parts > 2 or rows != 30)
+        assert all(sum(len(h) for o in range(2, 5) for h, _ in (t.grams[o], t.contexts[o])) < 4 * rows
+                   for t in [language_id.Model(**{**vars(whole), "places": places, "parts": parts}).tables(parts - 1)])
+        model = language_id.Model(**{**vars(whole), "places": places, "parts": parts})
+        got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in language_id.identify(docs, model).collect()}
+        assert got.keys() == expected.keys()
+        for key, (lang, score, rejected) in expected.items():
+            assert got[key] == (lang, pytest.approx(score, rel=1e-4, abs=1e-9), rejected)
+
+
+def test_unseen_grams_meet_no_stranger(language_docs):
+    """Every gram has its own entry: unseen ones always back off."""
+    tables = language_id.fit(language_docs).tables(0)
+    rng = np.random.default_rng(3)
+    unseen = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    for order in range(1, 5):
+        known = np.isin(language_id._hash(unseen), tables.grams[order][0])
+        assert len(language_id._look_up(*tables.grams[order], unseen)[1]) == len(unseen) - known.sum()
+        assert len(np.unique(tables.grams[order][0])) == len(tables.grams[order][0])
+
+
 def test_kneser_ney_against_a_plain_version(language_docs):
     model = language_id.fit(language_docs)
     fold = language_id._folded()
