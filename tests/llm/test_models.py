@@ -201,6 +201,84 @@ def test_any_markup_is_read(page):
     assert isinstance(html_extraction.main_text(page), str)
 
 
+def _plain_matching(a, b):
+    """Simple tree matching as defined, every pair of children weighed."""
+    if a.tag != b.tag or a.mark != b.mark:
+        return 0
+    if not a.tag and not a.children and not b.children:
+        return 3 if a.text == b.text else 1
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children):
+        for j, y in enumerate(b.children):
+            w = _plain_matching(x, y)
+            table[i + 1][j + 1] = max(table[i][j] + w, table[i][j + 1], table[i + 1][j])
+    return 1 + table[-1][-1]
+
+
+markup = st.lists(st.sampled_from(["<div>", "</div>", "<p>", "<section>", "</section>", "x", "y", "<hr>", "<ul><li>", "</ul>"]), max_size=40).map("".join)
+
+
+@given(markup, markup)
+@settings(max_examples=300, deadline=None)
+def test_tree_matching_equals_the_plain_version(left, right):
+    a, b, pairs = html_extraction.parse(left), html_extraction.parse(right), []
+    assert html_extraction.match_trees(a, b, pairs) == _plain_matching(a, b)
+    weights = [3 if not x.tag and not x.children and not y.children and x.text == y.text else 1 for x, y in pairs]
+    assert sum(weights) == _plain_matching(a, b)
+    assert all(x.tag == y.tag and x.mark == y.mark for x, y in pairs)
+
+
+@pytest.mark.parametrize("n", [2000, 5000])
+def test_long_and_deep_pages(n):
+    """Neither many paragraphs nor deep nesting stop a task, and constants are found on both ends and between."""
+    def page(k):
+        body = "".join(f"<p>text {k} {i}</p>" + ("<h4>constant middle</h4>" if i == n // 2 + k else "") for i in range(n))
+        return f"<div><div>constant top</div>{body}<div>constant end</div></div>"
+
+    wrapper = html_extraction._wrapper(html_extraction.induce([page(k) for k in range(4)]))
+    blocks = html_extraction.main_text(page(7), wrapper).split("\n\n")
+    assert blocks == [f"text 7 {i}" for i in range(n)]
+    deep = [f"{'<div>' * n}banner<p>own words {k}{'</div>' * n}" for k in range(4)]
+    wrapper = html_extraction._wrapper(html_extraction.induce(deep))
+    assert html_extraction.main_text(deep[2], wrapper) == "own words 2" and html_extraction.main_text(deep[2]) == "banner\n\nown words 2"
+
+
+def test_layouts_and_large_templates(spark):
+    """Every layout of a host has a wrapper, also where template is most of a page; copies make none."""
+    rng = random.Random(4)
+
+    def own(n=12):
+        return _words(rng, ["ka", "ro", "mi", "tu", "sel", "van", "dor"], n)
+
+    texts = {i: own() for i in range(200)}
+    rows = [(i, "http://two.example/", f"<body><div class=red><div>Banner of red</div><p>{texts[i]}</p></div>" if i % 2 else
+             f"<body><section id=blue><p>{texts[i]}</p><div>Banner of blue</div></section>") for i in range(24)]
+    large = "".join(f"<div>Template sentence number {j} that all pages of this host have</div>" for j in range(6))
+    rows += [(i, "http://large.example/", f"<body>{large}<p>{texts[i]}</p>") for i in range(30, 54)]
+    rare = "<div class=green><div>Banner of green</div><p>{}</p></div>"  # 5 of 105 pages
+    rows += [(i, "http://rare.example/", f"<body>{rare.format(texts[i])}" if i < 65 else f"<body><main><p>{texts[i]}</p></main>") for i in range(60, 165)]
+    article = "".join(f"<p>{own(20)}</p>" for _ in range(10))
+    near = {i: article + f"<p>changed {texts[i]}</p>" for i in range(170, 180)}
+    rows += [(i, "http://near.example/", f"<body>{near[i]}") for i in near]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    for i in [*range(24), *range(30, 54), *range(60, 165)]:
+        assert got[i] == texts[i], i
+    for i, page in near.items():
+        assert got[i] == page[3:-4].replace("</p><p>", "\n\n")
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p><a href=x>A long linked sentence of the article</a>.</p><ul><li><a href=y>Menu</a></ul>", "A long linked sentence of the article."),
+    ("<article><p>One</p><section class=discussion><p>Two</p></section><section class='related-work'><p>Three</p></section>"
+     "<div class=related-posts>No</div><div class=comments>No</div></article>", "One\n\nTwo\n\nThree"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold</p></article>", "Let x=1 hold"),
+    ("<div class=discussion><p>No</p></div><p>Yes</p>", "Yes"),
+])
+def test_nothing_of_an_article_is_dropped(page, text):
+    assert html_extraction.main_text(page) == text
+
+
 def test_simple_tree_matching():
     a = html_extraction.parse("<div><p>x</p><ul><li>1<li>2</ul></div>")
     b = html_extraction.parse("<div><ul><li>1<li>3<li>2</ul><p>x</p></div>")
