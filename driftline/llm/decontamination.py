@@ -21,6 +21,8 @@ MIN_AGREEMENT = 0.75
 WORDS_PER_PASS = 1 << 21
 #: Documents whose windows are hashed at a time.
 ROWS_AT_A_TIME = 1_000
+#: Pairs of equal windows that are listed at a time.
+HITS_AT_A_TIME = 1 << 20
 _BITS = 22
 
 OVERLAP = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_matched long"
@@ -51,30 +53,38 @@ class Seeds:
 
     def __init__(self, item_ids, texts, masks=MASKS):
         memo = word_hash_memo()
-        self.ids = np.asarray(item_ids, dtype=np.int64)
+        self.ids = item_ids
         self.words = [word_hashes(t or "", memo) for t in texts]
         weight = min(m.count("1") for m in masks)
         short = sorted({len(w) for w in self.words if 0 < len(w) < weight})
         self.masks = [*masks, *("1" * n for n in short)]
-        hashes, items, places = [], [], []
+        hashes, befores, items, places = [], [], [], []
         for salt, mask in enumerate(self.masks):
             for i, words in enumerate(self.words):
                 if salt >= len(masks) and len(words) != len(mask):
                     continue
                 found = _windows(words, mask, salt)
                 hashes.append(found)
+                befores.append(np.concatenate([np.zeros(min(1, len(found)), np.uint64), found[:-1]]))
                 items.append(np.full(len(found), i))
                 places.append(np.arange(len(found)))
         self.hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(self.hashes)
         self.hashes = self.hashes[order]
+        # the item's window one word before, under the same mask
+        self.before = np.concatenate([np.zeros(0, np.uint64), *befores])[order]
         self.items = np.concatenate([np.zeros(0, np.int64), *items])[order].astype(np.int64)
         self.places = np.concatenate([np.zeros(0, np.int64), *places])[order].astype(np.int64)
         self.maybe = np.zeros(1 << _BITS, dtype=bool)
         self.maybe[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray):
-        """Arrays (place in ``words``, item, place in the item) of equal windows."""
+    def hits(self, words: np.ndarray, firsts: np.ndarray):
+        """Arrays (place in ``words``, item, place in the item) of equal windows; ``firsts`` marks the
+        first word of each text.
+
+        Of equal windows that follow each other in both texts only the first is returned: they have the
+        same alignment. So repetitive texts give one hit for each alignment, not one for each pair of words.
+        """
         out = [[np.zeros(0, np.int64)] * 3]
         for salt, mask in enumerate(self.masks):
             windows = _windows(words, mask, salt)
@@ -82,10 +92,16 @@ class Seeds:
             low = np.searchsorted(self.hashes, windows[at], side="left")
             count = np.searchsorted(self.hashes, windows[at], side="right") - low
             at, low, count = at[count > 0], low[count > 0], count[count > 0]
-            if len(at):
-                within = np.arange(count.sum()) - np.repeat(offsets_of(count)[:-1], count)
-                seed = np.repeat(low, count) + within
-                out.append([np.repeat(at, count), self.items[seed], self.places[seed]])
+            ends = offsets_of(count)
+            start = 0
+            while start < len(at):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HITS_AT_A_TIME, side="right")) - 1)
+                n = count[start:stop]
+                within = np.arange(n.sum()) - np.repeat(offsets_of(n)[:-1], n)
+                seed, place = np.repeat(low[start:stop], n) + within, np.repeat(at[start:stop], n)
+                new = firsts[place] | (self.places[seed] == 0) | (windows[place - 1] != self.before[seed])
+                out.append([place[new], self.items[seed[new]], self.places[seed[new]]])
+                start = stop
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -112,7 +128,9 @@ def overlaps(words, bounds, seeds: Seeds, min_matched: int, agreement: float):
     The best alignment of each document and item that has ``min_matched`` matching words, or all
     words of a shorter item.
     """
-    at, item, place = seeds.hits(words)
+    firsts = np.zeros(len(words) + 1, dtype=bool)
+    firsts[bounds] = True
+    at, item, place = seeds.hits(words, firsts)
     doc = np.searchsorted(bounds, at, side="right") - 1
     # one alignment: the place where the item's first word would stand
     keys = np.unique(np.stack([doc, item, at - place], axis=1), axis=0)
@@ -146,7 +164,7 @@ def _item_blocks(benchmark: DataFrame, words_per_pass: int):
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow()
         yield spark.sparkContext.broadcast(
-            (rows.column("item_id").fill_null(-1).to_numpy(), rows.column("text").to_pylist())
+            (rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
         )
 
 
@@ -163,8 +181,9 @@ def find_overlaps(
     each document and item that share one. Documents without an overlap have no row.
 
     Items are broadcast in blocks of ``words_per_pass`` words and the documents are scanned once for
-    each block, without a shuffle. Null or empty texts match nothing, a null item id reads -1,
-    repeated documents match each, and an empty table on either side gives no rows.
+    each block, without a shuffle. Null or empty texts match nothing, a null item or document id stays
+    null, repeated documents and items match each, other columns are ignored, and an empty table on
+    either side gives no rows.
     """
     found = None
     for sent in _item_blocks(benchmark, words_per_pass):
@@ -186,7 +205,7 @@ def _finder(sent, min_matched, agreement):
             rows = overlaps(words, bounds, seeds, min_matched, agreement)
             if rows:
                 doc, item, *rest = map(list, zip(*rows, strict=True))
-                columns = [batch.column(0).take(pa.array(doc)), pa.array(seeds.ids[item]), *(pa.array(r, pa.int64()) for r in rest)]
+                columns = [batch.column(0).take(pa.array(doc)), pa.array([seeds.ids[i] for i in item], pa.int64()), *(pa.array(r, pa.int64()) for r in rest)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
@@ -195,7 +214,11 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED,
     agreement: float = MIN_AGREEMENT, words_per_pass: int = WORDS_PER_PASS,
 ) -> DataFrame:
-    """The documents without an overlap, all columns kept; no shuffle."""
+    """The documents without an overlap, all columns kept; no shuffle.
+
+    A document with a null or empty text, or a null id, is treated by its text alone and stays where it
+    shares no passage; repeated rows are judged each. An empty benchmark keeps all documents.
+    """
     out = docs
     for sent in _item_blocks(benchmark, words_per_pass):
         drop = _dropper(sent, docs.columns.index("text"), min_matched, agreement)

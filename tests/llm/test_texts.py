@@ -211,6 +211,50 @@ def test_short_items_with_substitutions():
     assert missed_by_one_stretch > 100
 
 
+@given(st.lists(st.text("ab", max_size=40), max_size=4), st.lists(st.text("abc", min_size=1, max_size=25), min_size=1, max_size=4),
+       st.sampled_from([1, 7, 1 << 20]))
+@settings(max_examples=150, deadline=None)
+def test_overlaps_against_all_alignments(texts, items, at_a_time):
+    """Every alignment with a window that agrees under some mask, compared word by word; one letter is one word."""
+    memo = decontamination.word_hash_memo()
+    texts, items = [" ".join(t) for t in texts], [" ".join(t) for t in items]
+    held, decontamination.HITS_AT_A_TIME = decontamination.HITS_AT_A_TIME, at_a_time
+    try:
+        got = decontamination.overlaps(*decontamination._batch_words(texts, memo), decontamination.Seeds(range(len(items)), items), 5, 0.75)
+    finally:
+        decontamination.HITS_AT_A_TIME = held
+    expected = {}
+    for (d, text), (i, item) in itertools.product(enumerate(texts), enumerate(items)):
+        a, b = text.split(), item.split()
+        masks = decontamination.MASKS if len(b) >= 6 else ["1" * len(b)]
+        for shift in range(-len(b), len(a)):
+            same = {k: a[shift + k] == b[k] for k in range(len(b)) if 0 <= shift + k < len(a)}
+            if not any(all(same.get(k + o) for o, bit in enumerate(m) if bit == "1")
+                       for m in masks for k in same if k + len(m) <= len(b) and shift + k + len(m) <= len(a)):
+                continue
+            run = [same[k] for k in sorted(same)]
+            for x, y in itertools.combinations(range(len(run) + 1), 2):
+                n = sum(run[x:y])
+                if n >= max(min(5, len(b)), 0.75 * (y - x)):
+                    expected[d, i] = max(expected.get((d, i), 0), n)
+    assert {(d, i) for d, i, *_ in got} >= set(expected)
+    for d, i, start, first, n, matched in got:
+        a, b = texts[d].split()[start:start + n], items[i].split()[first:first + n]
+        assert sum(x == y for x, y in zip(a, b, strict=True)) == matched >= max(min(5, len(items[i].split())), 0.75 * n)
+
+
+def test_repetitive_texts_give_a_hit_for_each_alignment():
+    memo = decontamination.word_hash_memo()
+    seeds = decontamination.Seeds([1, None], ["word " * 800, "a b " * 300])
+    words, bounds = decontamination._batch_words(["word " * 16_000, "x", "a b " * 5_000, "word " * 20], memo)
+    firsts = np.zeros(len(words) + 1, dtype=bool)
+    firsts[bounds] = True
+    at, item, place = seeds.hits(words, firsts)
+    assert len(at) <= len(seeds.masks) * (16_800 + 10_600 + 820 + 10)
+    found = decontamination.overlaps(words, bounds, seeds, 10, 0.75)
+    assert [(d, i, n, m) for d, i, _, _, n, m in found] == [(0, 0, 800, 800), (2, 1, 600, 600), (3, 0, 20, 20)]
+
+
 def test_top_k_against_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice([0.0, 0.5, -1.25, 0.003]) for _ in range(rng.choice([4, 4, 6]))], "q") for i in range(600)]
