@@ -3,7 +3,6 @@
 from driftline.fields import (
     CATEGORICAL_FIELDS, CORE_FIELDS, DOI_PREFIX, LOOSE_URL, NUMERIC_FIELDS, STRICT_URL,
 )
-from driftline.functions.text import HTML_STEPS
 from driftline.sources.given_tables import EXTENDED_SQL, OCCURRENCE_SQL
 
 
@@ -163,11 +162,34 @@ select feature, split_a, split_b, k as n_categories, n_a::bigint as n_a, n_b::bi
 from tests"""
 
 
+# Page to text as SQL of its own: what is dropped with its content, then what breaks a line, other
+# tags, character references, and white space.
+_DROPPED = [
+    "'(?s)<!--.*?(?:-->|\\z)'",
+    "'(?is)<script\\b.*?(?:</script\\s*>|\\z)'",
+    "'(?is)<style\\b.*?(?:</style\\s*>|\\z)'",
+    "'(?is)<head\\b.*?</head\\s*>'",
+    "'(?is)<nav\\b.*?</nav\\s*>'",
+    "'(?is)<header\\b.*?</header\\s*>'",
+    "'(?is)<footer\\b.*?</footer\\s*>'",
+    "'(?is)<aside\\b.*?</aside\\s*>'",
+    """'(?is)<div class="ad[^"]*">.*?</div\\s*>'""",
+]
+
+
 def html_text(column: str) -> str:
-    expr = column
-    for pattern, replacement in HTML_STEPS:
-        expr = f"regexp_replace({expr}, {lit(pattern)}, {lit(replacement)}, 'g')"
-    return f"nullif({expr}, '')"
+    text = column
+    for block in _DROPPED:
+        text = f"regexp_replace({text}, {block}, ' ', 'g')"
+    breaks = "'(?i)<(?:br|/?(?:p|div|li|h[1-6]|tr|section|article|ul|ol|table)|/title)\\b[^>]*>'"
+    text = f"regexp_replace(regexp_replace({text}, {breaks}, chr(10), 'g'), '<[^>]*>', '', 'g')"
+    references = [("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"),
+                  ("apos", "chr(39)"), ("amp", "'&'")]
+    for name, char in references:
+        text = f"replace({text}, '&{name};', {char})"
+    lines = f"string_split(regexp_replace({text}, '[ \\t\\r]+', ' ', 'g'), chr(10))"
+    kept = f"list_filter(list_transform({lines}, lambda line: trim(line, ' ')), lambda line: line <> '')"
+    return f"nullif(array_to_string({kept}, chr(10)), '')"
 
 
 def matches(column: str, pattern: str) -> str:

@@ -5,7 +5,7 @@ part and nation columns give a hierarchy, and nulls, blanks, URLs and gear codes
 numbers. ``OCCURRENCE_SQL`` is the same definition for the SQL side of the checks.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.fields import CORE_FIELDS
 
@@ -15,15 +15,9 @@ TABLES = (
 )
 
 
-_schemas: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is read from the footer once and remembered."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """A given table, with the schema that its footer has now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _CORE = """

@@ -94,6 +94,35 @@ def test_html_to_text(spark):
     assert [r[0] for r in rows] == [c[1] for c in cases]
 
 
+PAGE_TEXTS = [
+    ("plain", "plain"), ("", None), (" \n\t ", None), ("<p>a</p><p>b</p>", "a\nb"), ("a<br/>b<BR>c", "a\nb\nc"),
+    ("<div>x<div>y</div></div>", "x\ny"), ("<ul><li>1<li>2</ul>", "1\n2"), ("<h2>T</h2>text", "T\ntext"),
+    ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>", "ab\nc"), ("a&nbsp;&nbsp;b", "a b"),
+    ("&lt;p&gt; &quot;q&quot; &#39;r&apos;", "<p> \"q\" 'r'"), ("&amp;lt;", "&lt;"), ("a <!-- b --> c <!-- d", "a c"),
+    ("<style>p{}</style>s<STYLE>x", "s"), ("<header>h</header>m<footer>f</footer>", "m"), ("<aside>x</aside>y<aside>z", "yz"),
+    ('<div class="ad top">no</div>yes<div class="add">no</div>', "yes"), ("<b>bo</b>ld", "bold"),
+    ("one  two\t\tthree\r\nfour", "one two three\nfour"), ("<p>\n  in\n\n  lines </p>", "in\nlines"), ("a < b and c > d", "a d"),
+    ("<head><title>t</title></head><body>b", "b"), ("<prose>x</prose>", "x"), ("é<p>ß</p>", "é\nß"),
+]
+
+
+def test_page_texts_in_both_engines(spark):
+    """Known texts, from the chain of expressions and from the SQL that checks it."""
+    import duckdb
+    import pandas as pd
+
+    from driftline.plans.oracle import html_text
+
+    expected = [t for _, t in PAGE_TEXTS]
+    frame = pd.DataFrame({"i": range(len(PAGE_TEXTS)), "h": [h for h, _ in PAGE_TEXTS]})  # noqa: F841 (read by name)
+    sql = duckdb.sql(f"select {html_text('h')} from frame order by i").fetchall()
+    rows = spark.createDataFrame(list(enumerate(h for h, _ in PAGE_TEXTS)), "i int, h string").orderBy("i").select(
+        text.html_to_text(F.col("h"))
+    ).collect()
+    assert [r[0] for r in rows] == expected
+    assert [r[0] for r in sql] == expected
+
+
 def test_rounding_and_percent(spark):
     row = spark.range(1).select(
         numbers.round_half_away(F.lit(12.25), 1), numbers.round_half_away(F.lit(-12.25), 1),
