@@ -338,11 +338,15 @@ def _places(values: DataFrame, limit: int):
 
 def _add_part(sums: np.ndarray, tables: Tables, places, part: int, packed, bounds) -> None:
     """Add the log-probabilities of a part's windows to the sums of their texts."""
-    at = np.flatnonzero(_part_of(packed, places) == part)
-    if len(at):
-        text = np.searchsorted(bounds, at, side="right") - 1
-        first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        sums[text[first]] += np.add.reduceat(tables.log_probabilities(packed[at]), first, axis=0, dtype=np.float64)
+    n = np.diff(bounds)
+    if places[0].any() or places[1].max() > 1:  # more than one part
+        own = _part_of(packed, places) == part
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[own], minlength=len(n))
+        packed = packed[own]
+    some = np.flatnonzero(n)
+    if len(some):
+        logs = tables.log_probabilities(packed)
+        sums[some] += np.add.reduceat(logs, offsets_of(n)[some], axis=0, dtype=np.float64)
 
 
 def _decided(languages, mean, spread, sums: np.ndarray, n: np.ndarray):
