@@ -415,6 +415,28 @@ def test_thinning_matches_brute_force(spark):
     assert got == expected
 
 
+def test_thinning_writes_each_point_once(spark, monkeypatch):
+    df = spark.range(3000).select(
+        F.col("id").cast("string").alias("_id"), F.lit("p").alias("phylum"),
+        F.lit(10.0).alias("decimalLatitude"), (F.col("id") % 300 / 10.0).alias("decimalLongitude"),
+    )
+    rows, plain = [], geography.staged
+
+    def counted(frame, label):
+        out = plain(frame, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(geography, "staged", counted)
+    z12 = geography.thinned_tiles(df, 1001).where("z = 12").count()  # a cap that is ranked in slices first
+    assert z12 == 3000 and max(rows) == 3000
+    rows.clear()
+    kept = geography.thinned_tiles(df, 5)
+    assert kept.where("z = 12").count() == 1500
+    # the first run writes every point once, the second those of the zoom between the runs
+    assert sum(rows) <= 1500 + kept.where("z = 6").count()
+
+
 def test_filters_and_popup(spark):
     df = spark.createDataFrame(
         [("1", "Chordata", 1.0, 2.0), ("2", None, 3.0, 170.0), ("3", "X", 4.0, -175.0)],
