@@ -390,6 +390,22 @@ def test_pyramid_levels_agree(spark):
     assert len(per_zoom) == 13 and all(r["n"] == 2000 for r in per_zoom)
 
 
+def test_pyramid_adds_up_zoom_by_zoom(spark, monkeypatch):
+    """Fine zooms are not all spread out from the finest counts, of which there may be as many as points."""
+    df = spark.range(500).selectExpr(
+        "cast(id % 170 - 85 as double) as decimalLatitude", "cast(id % 360 - 180 as double) as decimalLongitude", "'P' as phylum",
+    )
+    runs, plain = [], geography._at_zooms
+    monkeypatch.setattr(geography, "_at_zooms", lambda rows, z, zooms: runs.append((z, len(zooms))) or plain(rows, z, zooms))
+    got = {(r["z"], r["x"], r["y"]): r["n"] for r in geography.tile_pyramid(df).collect()}
+    assert all(n == 1 or z <= 8 for z, n in runs)
+    for z in (0, 5, 8, 9, 12):
+        tiles = df.groupBy(
+            geography.tile_x(F.col("decimalLongitude"), z).alias("x"), geography.tile_y(F.col("decimalLatitude"), z).alias("y")
+        ).count().collect()
+        assert {k[1:]: n for k, n in got.items() if k[0] == z} == {(r["x"], r["y"]): r["count"] for r in tiles}
+
+
 def test_thinning_matches_brute_force(spark):
     """Half of the points lie in one place."""
     df = spark.range(3000).selectExpr(
