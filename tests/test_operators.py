@@ -380,6 +380,28 @@ def test_geojson_text_and_non_finite(spark):
     assert geography.non_finite_points(df).count() == 1
 
 
+def _counted(spark):
+    """A function on text that counts the rows it is given, and the count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(text):
+        seen.add(1)
+        return text
+
+    return F.udf(same, "string"), seen
+
+
+def test_matrix_reads_its_rows_once(spark):
+    same, seen = _counted(spark)
+    df = spark.range(300).select(
+        same(F.element_at(F.array(*map(F.lit, ("train", "dev", "test"))), (F.col("id") % 3 + 1).cast("int"))).alias("split"),
+        F.col("id").cast("double").alias("x"), (F.col("id") % 4).cast("string").alias("c"),
+    )
+    matrix = equivalence.equivalence_matrix(df, ["x"], ["c"]).collect()
+    assert len(matrix) == 6 and all(r["status"] == "tested" for r in matrix)
+    assert seen.value == 300
+
+
 def test_pyramid_levels_agree(spark):
     df = spark.range(2000).selectExpr(
         "(id * 37 % 17000) / 100.0 - 85 as decimalLatitude",
