@@ -402,6 +402,20 @@ def test_matrix_reads_its_rows_once(spark):
     assert seen.value == 300
 
 
+def test_united_samples_read_their_rows_once(spark, monkeypatch):
+    from driftline.plans import catalog
+
+    same, seen = _counted(spark)
+    rows = spark.range(400).select(
+        same(F.concat(F.lit("r"), "id")).alias("_id"), F.concat(F.lit("s"), F.col("id") % 40).alias("dataset_id"),
+        F.struct(*(F.lit("v").alias(f) for f in CORE_FIELDS)).alias("interpreted"),
+    )
+    monkeypatch.setattr(catalog, "occurrences", lambda *_: rows)
+    got = [r["_id"] for r in catalog.samples_united(spark, "").collect()]
+    assert sorted(got) == sorted(f"r{i}" for i in range(400))  # fewer than a sample holds
+    assert seen.value == 400
+
+
 def test_pyramid_levels_agree(spark):
     df = spark.range(2000).selectExpr(
         "(id * 37 % 17000) / 100.0 - 85 as decimalLatitude",
