@@ -7,16 +7,19 @@ longest lists aside, merges the short ones with a heap that skips ahead, and loo
 the long lists by binary search.
 
 Before that, work is kept apart that needs no search. Documents with equal sets are one class. Each
-class is compared with one likely relative (equal minima of its shingles), which joins most large
+class is compared with one likely relative (several equal minima of its shingles), which joins most large
 groups of near copies by one comparison for each member. For the rest, shingles are ordered by how
 many documents have them; two linked sets share a shingle among the first n - T + 1 of each, and
 only lists of such shingles that reach different groups send a document to a block of others to be
-searched. Shingles that one document alone has are never listed, and groups are not searched within.
+searched. What two sets share lies behind the first shingle they share in each, so the place of a shingle
+limits how large the other set may be; lists send a document only where sets of such sizes live.
+Shingles that one document alone has are never listed, and groups are not searched within.
 All links between groups are found; a link inside a group changes nothing.
 """
 
 import hashlib
 import heapq
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -31,6 +34,9 @@ from driftline.staging import staged
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 MINIMA = 8
+#: Minima that a likely relative shares at least. Sets that link share six on average; others that link are
+#: found by the search.
+RELATIVE_MINIMA = 3
 #: Shingles with a hash below this come first in the order, and their frequencies are counted over all
 #: documents. A prefix is a quarter of a set, so most end among them; for sets whose prefix does not,
 #: mostly small ones, the other shingles are counted too, over such sets.
@@ -40,6 +46,8 @@ FREQUENT = 64
 POSTINGS_PER_BUCKET = 400_000
 POSTINGS_PER_FLUSH = 1_000_000
 RESIDENTS_PER_BLOCK = 600
+#: Who lives in a block has sets of like size: within a class, sizes differ by this factor at most.
+SIZE_STEP = 1.1
 VISITORS_PER_PART = 2_400
 MEMBERS_PER_GROUP = 1_000
 BROADCAST_ROWS = 1 << 20
@@ -201,7 +209,7 @@ def _sets_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _relatives(classes: DataFrame) -> DataFrame:
     """Rows (node, leader): of the smallest nodes that share a minimum with a node, the one that shares
-    most of them. ``leader`` is smaller than ``node``."""
+    most of them, RELATIVE_MINIMA at least. ``leader`` is smaller than ``node``."""
     keys = classes.select("node", F.posexplode("minima").alias("place", "minimum"))
     leaders = staged(
         keys.groupBy("place", "minimum").agg(F.min("node").alias("leader"), F.count("*").alias("size"))
@@ -209,7 +217,7 @@ def _relatives(classes: DataFrame) -> DataFrame:
     )
     return (
         keys.join(leaders, ["place", "minimum"]).where("leader < node")
-        .groupBy("node", "leader").agg(F.count("*").alias("equal"))
+        .groupBy("node", "leader").agg(F.count("*").alias("equal")).where(F.col("equal") >= RELATIVE_MINIMA)
         .groupBy("node").agg(F.max_by("leader", F.struct("equal", -F.col("leader"))).alias("leader"))
     )
 
@@ -361,10 +369,12 @@ def _shared_shingles(posted: DataFrame) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows (hash, node): the shingles in a node's prefix that others may share.
+    """Rows (hash, node, n, reach): the shingles in a node's prefix that others may share.
 
     A prefix takes the first part of the order, then the second, each rarest first. Shingles of
-    frequency 1 are not listed, but they count and come first in their part.
+    frequency 1 are not listed, but they count and come first in their part. ``reach`` is the most
+    shingles that a set may have to link with the node's if this is the first that both have: at
+    place i (from 0) they share n - i at most.
     """
     first = F.when((F.col("hash") >= 0) & (F.col("hash") < FIRST_BELOW), 0).otherwise(1)
     listed = shared.groupBy("node").agg(
@@ -376,11 +386,20 @@ def _prefixes(classes: DataFrame, shared: DataFrame) -> DataFrame:
     zero = F.lit(0)
     taken_first = F.greatest(zero, F.least(length, n_first) - (n_first - F.col("listed_first")))
     taken_second = F.greatest(zero, length - n_first - (n_second - F.col("listed_second")))
-    taken = F.slice("shared", 1, taken_first.cast("int")), F.slice(
-        "shared", (F.col("listed_first") + 1).cast("int"), taken_second.cast("int"))
+
+    def part(start, taken, place):
+        entries = F.slice("shared", (start + 1).cast("int"), taken.cast("int"))
+        return F.transform(entries, lambda e, i: F.struct(e["hash"].alias("hash"), (place + i).alias("place")))
+
+    entries = F.concat(
+        part(zero, taken_first, n_first - F.col("listed_first")),
+        part(F.col("listed_first"), taken_second, F.col("n") - F.col("listed_second")),
+    )
+    reach = F.floor((DENOMINATOR * F.col("n") - (DENOMINATOR + NUMERATOR) * F.col("entry.place")) / NUMERATOR)
     return (
         classes.select("node", "n", "n_first").join(listed, "node")
-        .select("node", F.explode(F.concat(*taken)).alias("entry")).select("node", "entry.hash")
+        .select("node", "n", F.explode(entries).alias("entry"))
+        .select("entry.hash", "node", "n", reach.alias("reach"))
     )
 
 
@@ -390,14 +409,15 @@ def _prefixes(classes: DataFrame, shared: DataFrame) -> DataFrame:
 def _routes(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (node, block, part, component, role): role 0 lives in the block, role 1 is searched there.
 
-    Only lists that reach several groups matter. A group lives in one block, a large one in several,
-    and the members of the smaller of two groups are searched where the larger lives. The visitors of
-    a block are dealt into parts of about VISITORS_PER_PART, and those who live there go to each.
+    Only lists that reach several groups matter. Blocks are of one class of set sizes; there a group
+    lives in one block, a large one in several, and the members of the smaller of two groups are searched where the larger lives, if the sizes of
+    those who share a list there are within each other's reach. The visitors of a block are dealt into parts of about VISITORS_PER_PART, and those who live there go to each.
     """
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     known = staged(
         prefixes.join(labels.join(sizes, "component"), "node", "left").select(
-            "hash", "node", F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size")
+            "hash", "node", "n", "reach",
+            F.coalesce("component", "node").alias("component"), F.coalesce("size", F.lit(1)).alias("size"),
         ), "prefix-lists",
     )
     several = staged(
@@ -405,17 +425,26 @@ def _routes(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
         .where("low < high").select("hash"), "several-groups",
     )
     active = staged(known.join(several, "hash"), "active-lists")
-    nodes = staged(active.select("node", "component", "size").distinct(), "active-nodes")
-    blocks = max(1, -(-nodes.count() // RESIDENTS_PER_BLOCK))
+    active = active.withColumn("class", F.floor(F.log("n") / math.log(SIZE_STEP)))
+    nodes = staged(active.select("node", "component", "size", "class").distinct(), "active-nodes")
+    classes = staged(
+        nodes.groupBy("class").agg(F.ceil(F.count("*") / RESIDENTS_PER_BLOCK).alias("blocks")), "size-classes"
+    )
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / RESIDENTS_PER_BLOCK).cast("long"))
-    block = F.pmod(F.xxhash64("component", part), F.lit(blocks)).cast("int")
-    living = nodes.select("node", block.alias("block"), "component", F.lit(0).alias("role"))
+    block = F.struct("class", F.pmod(F.xxhash64("component", part), F.col("blocks")).alias("place"))
+
+    def housed(rows):
+        return rows.join(F.broadcast(classes), "class").withColumn("block", block)  # some hundred classes at most
+
+    living = housed(nodes).select("node", "block", "component", F.lit(0).alias("role"))
     here = staged(
-        active.withColumn("block", block).groupBy("hash", "block")
-        .agg(F.max(F.struct("size", "component")).alias("largest")), "list-blocks",
+        housed(active).groupBy("hash", "block")
+        .agg(F.max(F.struct("size", "component")).alias("largest"),
+             F.min("n").alias("least_n"), F.max("reach").alias("most_reach")), "list-blocks",
     )
     visits = (
         active.join(here, "hash").where(F.struct("size", "component") < F.col("largest"))
+        .where((F.col("least_n") <= F.col("reach")) & (F.col("n") <= F.col("most_reach")))
         .select("node", "block", "component", F.lit(1).alias("role")).distinct()
     )
     visits = staged(visits, "visits")

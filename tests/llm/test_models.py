@@ -357,6 +357,25 @@ def test_join_against_all_pairs(spark, seed, monkeypatch):
     assert got == _joined(texts)
 
 
+def test_join_visits_only_sets_of_like_size(spark, monkeypatch):
+    """Documents that share a passage but differ much in size, or share one minimum, are not compared."""
+    seen, plain = [], (ngram_join._relatives, ngram_join._search)
+    monkeypatch.setattr(ngram_join, "RESIDENTS_PER_BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "_relatives", lambda c: seen.append(r := plain[0](c)) or r)
+    monkeypatch.setattr(ngram_join, "_search", lambda sets, routes: seen.append(routes) or plain[1](sets, routes))
+    passage = " ".join(f"p{i}" for i in range(14))
+    texts = [(k, " ".join([passage, *(f"d{k}w{i}" for i in range(20 * 2 ** (k % 5)))])) for k in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(docs).collect()}
+    assert got == _joined(texts)
+    sizes = {k: n for k, (n, _) in got.items()}
+    relatives, routes = (rows.collect() for rows in seen)
+    assert all(0.5 < sizes[r.node] / sizes[r.leader] < 2 for r in relatives)
+    for block in {r.block for r in routes}:
+        here = [[sizes[r.node] for r in routes if r.block == block and r.role == role] for role in (0, 1)]
+        assert all(3 * max(here[0]) >= 2 * n and 2 * min(here[0]) <= 3 * n for n in here[1])
+
+
 def test_join_of_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
