@@ -357,6 +357,18 @@ def test_join_against_all_pairs(spark, seed, monkeypatch):
     assert got == _joined(texts)
 
 
+def test_all_pages_of_a_layout_vote(spark):
+    """Near copies do not keep a layout from its wrapper, however many there are and wherever their hashes lie."""
+    shape = "<body><div class='top'><p>notice {n}</p></div><p>banner of the host</p><p>{text}</p><p>closing words</p></body>"
+    near = " ".join(f"same{i}" for i in range(60))
+    rows = [(k, "http://a.example/", shape.format(n=1, text=f"{near} {k}" + (" " + near) * 2)) for k in range(120)]
+    rows += [(200 + k, "http://a.example/", shape.format(n=1, text=" ".join(f"own{k}w{i}" for i in range(40 + k)))) for k in range(4)]
+    texts = {page: text.split("<p>")[3].split("</p>")[0] for page, _, text in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    assert all(got[k] == texts[k] for k in range(200, 204))
+
+
 def test_join_visits_only_sets_of_like_size(spark, monkeypatch):
     """Documents that share a passage but differ much in size, or share one minimum, are not compared."""
     seen, plain = [], (ngram_join._relatives, ngram_join._search)
