@@ -7,7 +7,7 @@ return the columns of ``documents``; the last returns the packed pieces.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.llm import decontamination, language_id, line_dedup, ngram_join, packing
-from driftline.llm.common import broadcast_up_to, held_out, table
+from driftline.llm.common import broadcast_up_to, held_out, rows_a_batch, table, text_key, without_texts
 from driftline.llm.queries import cut_documents
 from driftline.staging import scratch_path, staged
 
@@ -15,6 +15,9 @@ from driftline.staging import scratch_path, staged
 #: against a brute-force version.
 ORACLE_SQL = None
 
+#: Texts that a task sends to Python at a time to be cut into pieces.
+PACKED_ROWS_AT_A_TIME = 1_000
+
 
 def _apart(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with own columns of these names renamed, for a step that uses the names, and the way back."""
@@ -25,13 +28,15 @@ def _apart(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that language identification rejects go.
 
-    Null texts and texts without letters are among the rejected. Columns of any name keep their values.
+    Null texts and texts without letters are among the rejected. Only the keys of rejected texts come back
+    from Python; the documents are read once more and keep all columns.
     """
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    added = ["lang_pred", "score", "rejected"]
-    given, back = _apart(docs, added)
-    found = language_id.identify(given, model).where(~F.col("rejected"))
-    return found.drop(*added).withColumnsRenamed(back).select(*docs.columns)
+    texts = docs.where("text is not null")
+    given = texts.select(text_key(F.col("text")).alias("key"), "text")
+    with rows_a_batch(spark, language_id.ROWS_AT_A_TIME):
+        rejected = staged(language_id.identify(given, model).where("rejected").select("key"), "rejected-texts")
+    return without_texts(texts, rejected)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +80,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(cut_documents(docs))
+    with rows_a_batch(spark, PACKED_ROWS_AT_A_TIME):
+        return packing.pack(cut_documents(docs))  # texts are cut, and the pieces written, within
 
 
 STAGES = [

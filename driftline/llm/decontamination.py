@@ -11,8 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.llm.common import map_batches, mix, offsets_of, word_hash_memo
-from driftline.staging import scratch_path
+from driftline.llm.common import (
+    map_batches, mix, offsets_of, rows_a_batch, text_key, without_texts, word_hash_memo,
+)
+from driftline.staging import scratch_path, staged
 
 #: 1: the word counts, 0: it is ignored. Six words count in each.
 MASKS = ("111111", "1101111", "11011011", "111001011", "1010110011")
@@ -214,24 +216,30 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, min_matched: int = MIN_MATCHED,
     agreement: float = MIN_AGREEMENT, words_per_pass: int = WORDS_PER_PASS,
 ) -> DataFrame:
-    """The documents without an overlap, all columns kept; no shuffle.
+    """The documents without an overlap, all columns kept.
 
-    A document with a null or empty text, or a null id, is treated by its text alone and stays where it
-    shares no passage; repeated rows are judged each. An empty benchmark keeps all documents.
+    A document is judged by its text alone. The texts go to Python a few at a time and only the keys of those
+    that share a passage come back, a table that is written out; the documents are then read once more and
+    meet it by text, broadcast unless many are dropped. Null or empty texts stay, repeated rows stay or go
+    together. An empty benchmark keeps all documents.
     """
-    out = docs
-    for sent in _item_blocks(benchmark, words_per_pass):
-        drop = _dropper(sent, docs.columns.index("text"), min_matched, agreement)
-        out = map_batches(out, drop, docs.schema, ROWS_AT_A_TIME)
-    return out
+    texts = docs.where("text is not null").select(text_key(F.col("text")).alias("key"), "text")
+    found = None
+    with rows_a_batch(docs.sparkSession, ROWS_AT_A_TIME):
+        for sent in _item_blocks(benchmark, words_per_pass):
+            judged = map_batches(texts, _judge(sent, min_matched, agreement), "key binary", ROWS_AT_A_TIME)
+            part = staged(judged, "contaminated-texts")
+            sent.unpersist()
+            found = part if found is None else found.unionByName(part)
+    return without_texts(docs, found)
 
 
-def _dropper(sent, column, min_matched, agreement):
+def _judge(sent, min_matched, agreement):
+    """Keys of the texts (key, text) that share a passage with an item."""
     def run(batches):
         seeds, memo = Seeds(*sent.value), word_hash_memo()
         for batch in batches:
-            words, bounds = _batch_words(batch.column(column).to_pylist(), memo)
-            keep = np.ones(batch.num_rows, dtype=bool)
-            keep[[row[0] for row in overlaps(words, bounds, seeds, min_matched, agreement)]] = False
-            yield batch.filter(pa.array(keep))
+            words, bounds = _batch_words(batch.column("text").to_pylist(), memo)
+            shared = sorted({row[0] for row in overlaps(words, bounds, seeds, min_matched, agreement)})
+            yield batch.select(["key"]).take(pa.array(shared, pa.int64()))
     return run

@@ -43,8 +43,8 @@ RELATIVE_MINIMA = 3
 FIRST_BELOW = 3 << 61
 #: Frequencies are told apart up to here.
 FREQUENT = 64
-POSTINGS_PER_BUCKET = 400_000
-POSTINGS_PER_FLUSH = 1_000_000
+POSTINGS_PER_BUCKET = 100_000
+POSTINGS_PER_FLUSH = 500_000
 RESIDENTS_PER_BLOCK = 600
 #: Who lives in a block has sets of like size: within a class, sizes differ by this factor at most.
 SIZE_STEP = 1.1

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from driftline.llm import collocations, hard_negatives, secret_scan
+from driftline.llm import collocations, decontamination, hard_negatives, language_id, packing, secret_scan
 
 DOCS = "doc_id long, text string, lang string, source string, rank int, words string, n int, spans string, chunk string"
 
@@ -220,3 +220,48 @@ def test_stages_keep_columns_of_any_name(spark):
         assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in own), name
         assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.where("doc_id is not null").collect())
         docs, wide = docs.where("doc_id < 100"), wide.where("doc_id < 100 and doc_id is not null")
+
+
+def test_stages_send_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    """Also where the caller writes a stage's result, no task sends thousands of whole texts to Python at once,
+    and the session's own batch size stays."""
+    large = spark.sparkContext.accumulator(0)
+
+    def watched(df, fn, schema, rows=None):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    if batch.num_rows > 1_000 and "text" in batch.schema.names:
+                        large.add(1)
+                    yield from (batch.slice(at, 1_000) for at in range(0, batch.num_rows, 1_000))
+            yield from fn(seen())
+        return df.mapInArrow(run, schema)
+
+    for module in (language_id, decontamination, packing):
+        monkeypatch.setattr(module, "map_batches", watched)
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, f"the words of text {i} are here" + f" {passage}" * (i % 1_000 == 7), "aa", "s", 0) for i in range(2_500)]
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        .coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    )
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, stage in corpus_pipeline.STAGES:
+        if name not in ("line_dedup", "ngram_join"):
+            kept = {r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()}
+            assert large.value == 0, name
+            assert name != "decontamination" or kept == set(range(2_500)) - {7, 1_007, 2_007}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_decontamination_and_odd_texts(spark):
+    """Copies go together; nulls, empty texts and null ids stay, as often as they are there."""
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, passage), (1, passage), (2, passage), (None, passage), (3, None), (3, None), (4, ""), (None, "x"), (5, "x y")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
+    benchmark = spark.createDataFrame([(1, passage), (2, None), (3, "")], "item_id long, text string")
+    kept = decontamination.decontaminate(docs, benchmark, words_per_pass=3)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.where("text is null or length(text) < 5").collect()))
