@@ -369,6 +369,38 @@ def test_all_pages_of_a_layout_vote(spark):
     assert all(got[k] == texts[k] for k in range(200, 204))
 
 
+def test_pages_are_parsed_once_for_their_layout_and_their_host(spark, monkeypatch):
+    """Votes on a layout's wrapper and on its host's come from one pass; layouts of few pages take the host's."""
+    handed, plain = [], html_extraction.map_batches
+    monkeypatch.setattr(html_extraction, "map_batches", lambda df, *rest: handed.append(df.columns) or plain(df, *rest))
+    texts = {i: f"own words of page number {i} " * (1 + i % 5) for i in range(40)}
+    shape = "<body><div><div>Banner of the host</div><div class=box{}><p>{}</p></div></div>"
+    # boxes of 12, 12, 2 and 2 pages, and a host of one layout and two pages
+    boxes = {i: i % 2 if i < 24 else 2 + i % 2 for i in range(28)}
+    rows = [(i, "http://many.example/", shape.format(boxes[i], texts[i])) for i in boxes]
+    rows += [(i, "http://few.example/", shape.format(9, texts[i])) for i in (30, 31)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    layouts = pages.select("page_id", html_extraction.layout_of(pages["html"]).alias("n")).collect()
+    assert len({r.n for r in layouts}) == 5
+    got = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    for i in boxes:
+        assert got[i] == texts[i].strip(), i
+    assert got[30] == f"Banner of the host\n\n{texts[30].strip()}"
+    assert sum("html" in columns for columns in handed) == 2  # votes, then texts
+
+
+def test_elements_told_before_are_told_alike():
+    """What is remembered of an element depends on its attributes and on whether it is inside an article."""
+    page = "<div class=legal>No</div><article><div class=legal>Yes</div><div class=menu>No</div></article>"
+    for _ in range(2):
+        tree = html_extraction.parse(page)
+        skips = [(n.tag, n.mark, n.inside, n.skip) for n in html_extraction._nodes(tree) if n.tag == "div"]
+        assert skips == [("div", "legal", False, True), ("div", "legal", True, False), ("div", "menu", True, True)]
+    every = "".join(map(chr, range(0x110000)))
+    spaces = html_extraction.parse("x".join(c for c in every if c.isspace()))
+    assert [n.text for n in spaces.children] == [" ".join("x" * (sum(map(str.isspace, every)) - 1))]
+
+
 def test_join_visits_only_sets_of_like_size(spark, monkeypatch):
     """Documents that share a passage but differ much in size, or share one minimum, are not compared."""
     seen, plain = [], (ngram_join._relatives, ngram_join._search)
