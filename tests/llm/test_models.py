@@ -228,6 +228,34 @@ def test_tree_matching_equals_the_plain_version(left, right):
     assert all(x.tag == y.tag and x.mark == y.mark for x, y in pairs)
 
 
+@pytest.mark.parametrize("cells", [None, 3000])
+def test_large_trees_are_matched_as_small_ones(monkeypatch, cells):
+    """The largest matching of trees far beyond 2^14 pairs of nodes: pairs far off their place, few equal subtrees, and
+    ways back too many to hold. Each node has one partner, and order and parentage are kept."""
+    if cells:
+        monkeypatch.setattr(html_extraction, "CELLS", cells)
+    rng = random.Random(8)
+    moved = rng.sample(range(200), 200)
+    listed = "<li><div>name {0}</div><p>text {0}</p><ul><li>Reply<li>{1}</ul>"
+    tokens = ["<div>", "</div>", "<p>", "<section>", "</section>", "x", "y", "<hr>", "<ul><li>", "</ul>"]
+    cases = [
+        ["<p>x</p>" * 150 + "<p>y</p>" * 80, "<p>y</p>" * 80 + "<p>x</p>" * 150],
+        ["".join(f"<p>text {i}</p>" for i in places) for places in (range(200), moved)],
+        ["".join(listed.format(i, i % kinds) for i in places if i < 70) for places, kinds in ((range(200), 7), (moved, 5))],
+        *(["<body>" + "".join(rng.choices(tokens, k=900)) for _ in range(2)] for _ in range(4)),
+    ]
+    for left, right in cases:
+        a, b, pairs = html_extraction.parse(left), html_extraction.parse(right), []
+        assert html_extraction.match_trees(a, b, pairs) == _plain_matching(a, b) and a.size * b.size > 1 << 14
+        assert sum(3 if not x.tag and not x.children and not y.children and x.text == y.text else 1 for x, y in pairs) == _plain_matching(a, b)
+        partner = {id(x): y for x, y in pairs}
+        place, above = ({id(n): i for i, n in enumerate(html_extraction._nodes(b))},
+                        {id(c): id(n) for t in (a, b) for n in html_extraction._nodes(t) for c in n.children})
+        met = [place[id(partner[id(n)])] for n in html_extraction._nodes(a) if id(n) in partner]
+        assert met == sorted(set(met)) and len(met) == len(pairs)
+        assert all(id(partner[above[id(x)]]) == above[id(y)] for x, y in pairs if id(x) in above)
+
+
 @pytest.mark.parametrize("n", [2000, 5000])
 def test_long_and_deep_pages(n):
     """Neither many paragraphs nor deep nesting stop a task, and constants are found on both ends and between."""
